@@ -81,13 +81,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     items = scratch.save(items.withColumn("row", F.monotonically_increasing_id()), "benchmark")
     vocabulary = scratch.save(items.select(F.explode("iw").alias("word")).distinct(), "vocabulary")
     tokenised = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
-    seen = tokenised.select(F.explode("words").alias("word")).join(_maybe_broadcast(vocabulary, scratch), "word")
+    # outer: an inner explode is given a filter on its array, which would tokenise every text twice
+    seen = tokenised.select(F.explode_outer("words").alias("word")).join(_maybe_broadcast(vocabulary, scratch), "word")
     counts = scratch.save(seen.groupBy("word").agg(F.count("*").alias("n")), "counts")
     anchors, named = _anchors(items, counts, scratch, window)
 
     reach = window - 1
     pos = F.col("pos")
-    spread = tokenised.select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word")).select(
+    spread = tokenised.select("doc_id", "h", "words", F.posexplode_outer("words").alias("pos", "word")).select(
         "doc_id", "h", "word", "pos",
         F.slice("words", F.greatest(pos - reach, F.lit(0)) + 1, F.least(pos, F.lit(reach))).alias("left"),
         F.slice("words", pos + 2, F.lit(reach)).alias("right"),
