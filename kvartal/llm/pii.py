@@ -119,7 +119,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
     # digits need at least six to be a candidate: years and small numbers are none
     worth = lambda x: x.base | (F.length(_digits(x.m)) >= 6)
-    both = F.concat(*(F.filter(cast(k, kinds[k], k != "secret"), worth) for k in KINDS), cast("phone", loose, False))
+    worth_secret = lambda x: x.m.rlike("[A-Za-z]") & (F.length(_digits(x.m)) >= 6)
+    both = F.concat(*(F.filter(cast(k, kinds[k], k != "secret"), worth_secret if k == "secret" else worth) for k in KINDS), cast("phone", loose, False))
     # outer: an inner explode is given a filter on its array, which would search every text twice
     return rows.select("doc_id", "h", F.explode_outer(both).alias("c")).where(F.col("c").isNotNull()).select("doc_id", "h", "c.*")
 
