@@ -41,6 +41,8 @@ CONTEXT = 24
 #: A model decides to add a span from this probability on.
 ADD = 0.5
 EM_ROUNDS, LR_ROUNDS = 50, 400
+#: How far a labeler's votes are believed at most, in the order of VOTES: a check digit is arithmetic, a shape is a guess.
+SURE = (0.95, 0.995, 0.95, 0.95)
 VOTES = ("v_pattern", "v_valid", "v_gazetteer", "v_context")
 FEATURES = ("f_kind", "f_length", "f_digits")
 
@@ -194,8 +196,8 @@ def fit(patterns: list[tuple], names: tuple[str, ...] = (*VOTES, *FEATURES)) ->
         p = 1 / (1 + np.exp(np.clip(no - yes, -50, 50)))
         w1, w0 = (count * p)[:, None] * said, (count * (1 - p))[:, None] * said
         # a few made-up votes keep labelers that seldom speak near their first rates
-        hit = np.clip(((w1 * (vote == 1)).sum(axis=0) + 8) / (w1.sum(axis=0) + 10), 0.5, 0.99)
-        miss = np.clip(((w0 * (vote == 1)).sum(axis=0) + 2) / (w0.sum(axis=0) + 10), 0.01, 0.5)
+        hit = np.clip(((w1 * (vote == 1)).sum(axis=0) + 8) / (w1.sum(axis=0) + 10), 0.5, SURE)
+        miss = np.clip(((w0 * (vote == 1)).sum(axis=0) + 2) / (w0.sum(axis=0) + 10), 1 - np.array(SURE), 0.5)
         prior = float(np.clip((count * p).sum() / count.sum(), 0.05, 0.95))
     keys = sorted({(n, int(v)) for row in table for n, v in zip(names, row)})
     at = {k: i for i, k in enumerate(keys)}
