@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvartal.llm import decontaminate, embeddings, langid, mixing, pii, simhash, tokens, toxicity
+from kvartal.llm import decontaminate, embeddings, langid, linededup, mixing, pii, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that recur across documents."""
+    return linededup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix": op3_mix,
         "op4_embeddings": op4_embeddings,
         "op5_language_id": op5_language_id,
+        "op6_line_dedup": op6_line_dedup,
         "op7_simhash": op7_simhash,
         "op8_toxicity": op8_toxicity,
         "op9_pii": op9_pii,
