@@ -68,9 +68,11 @@ def _anchors(items: DataFrame, counts: DataFrame, scratch: Scratch, window: int)
     return anchors, named
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, whole_rows: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``.
 
+    With ``whole_rows`` all columns of ``docs`` come along, other than those five.
+
     Null and wordless texts have no words and no hits; wordless items have no window. An
     item whose item_id is null hits words but is neither counted nor named; items that
     share an id count once. Repeated rows each get their row, rows that share a doc_id
@@ -115,13 +117,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     per = scratch.save(per, "documents")
 
     # the per-document table is small where few are hit; then no row of the corpus moves
-    rows = tokenised.select("doc_id", "h", F.size("words").cast("long").alias("n_words"))
-    hit = _maybe_broadcast(per, scratch).withColumnsRenamed({"doc_id": "d", "h": "g"})
-    out = rows.join(hit, [F.col("doc_id").eqNullSafe(F.col("d")), F.col("h") == F.col("g")], "left")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    keep = [c for c in docs.columns if c not in made] if whole_rows else ["doc_id"]
+    rows = docs.select(*keep, F.xxhash64("text").alias("_h"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    hit = _maybe_broadcast(per, scratch).withColumnsRenamed({"doc_id": "_d", "h": "_g", "n_hit": "_hit", "ids": "_ids"})
+    out = rows.join(hit, [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("_h") == F.col("_g")], "left")
+    ids = F.coalesce("_ids", F.array().cast("array<string>"))
+    n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
     return out.select(
-        "doc_id",
+        *keep,
         "n_words",
         n_hit.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),

@@ -200,3 +200,21 @@ def simhash_components(docs: DataFrame, name: str = "simhash") -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = scratch.save(named.join(least, "root").select("fp", "component_id"), "components")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: those whose doc_id is its least.
+
+    Rows that share a doc_id stay or go together. Rows without doc_id go if a document
+    with one is near, and else stay.
+    """
+    made = simhash_components(docs, "one-of-each")
+    named = made.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_d")).distinct()
+    kept = docs.join(named, F.col("doc_id") == F.col("_d"), "left_semi")
+    alone = made.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("_f")).distinct()
+    lost = docs.where(F.col("doc_id").isNull())
+    if lost.isEmpty():
+        return kept
+    cols = [F.col(c) for c in docs.columns]
+    fp = F.udf(lambda t: int(np.uint64(fingerprint(t)).view(np.int64)), "long")
+    return kept.unionByName(lost.withColumn("_f", fp("text")).join(alone, "_f", "left_semi").select(*cols))
