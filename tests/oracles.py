@@ -1,0 +1,20 @@
+"""Runs a query's oracle in DuckDB and compares all rows."""
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def oracle_rows(sql, sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    cur = con.execute(sql)
+    names = [x[0] for x in cur.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(names), sorted((tuple(r[i] for i in order) for r in cur.fetchall()), key=repr)
+
+
+def spark_rows(df):
+    names = sorted(df.columns)
+    return names, sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
