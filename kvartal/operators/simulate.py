@@ -1,0 +1,118 @@
+"""Exact event simulation: sequential inside a component, parallel over components.
+
+Events of one scene touch each other only inside a component, so scenes (or components of
+one) are groups of ``applyInPandas``. Inside, a heap with lazily dropped stale keys keeps at
+most one pending event for each entity, in the order (time, id).
+"""
+
+from __future__ import annotations
+
+import heapq
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from kvartal.functions import rng
+
+DAY = 86_400
+#: Ids of entities other than residents begin here.
+OTHERS = 1 << 31
+
+
+@dataclass
+class Clock:
+    """Pending events and the interval clock. Scheduling an entity again replaces its event."""
+
+    interval: int
+    now: int = 0
+    due: dict[int, int] = field(default_factory=dict)
+    heap: list[tuple[int, int]] = field(default_factory=list)
+
+    def schedule(self, entity: int, t: int) -> None:
+        self.due[entity] = t
+        heapq.heappush(self.heap, (t, entity))
+        if len(self.heap) > 64 + 4 * len(self.due):  # mostly stale keys: build it anew
+            self.heap = [(t, e) for e, t in self.due.items()]
+            heapq.heapify(self.heap)
+
+    def cancel(self, entity: int) -> None:
+        self.due.pop(entity, None)
+
+    def advance(self, until: int, commands: Callable[[int], None], handle: Callable[[int, int], None]) -> None:
+        """Each interval: first its commands, then the events before its end, in order."""
+        while self.now < until:
+            commands(self.now)
+            end = self.now + self.interval
+            while self.heap and self.heap[0][0] < end:
+                t, e = heapq.heappop(self.heap)
+                if self.due.get(e) == t:
+                    del self.due[e]
+                    handle(t, e)
+            self.now = end
+
+
+class Draws:
+    """Even draws of one (entity, time): the n-th word that is not rejected."""
+
+    def __init__(self, key: tuple[int, int], entity: int, t: int):
+        self.key, self.entity, self.t, self.n = key, entity, t, 0
+
+    def below(self, n: int) -> int:
+        while True:
+            p = rng.philox_ints(self.key, (self.entity, self.n, self.t, 0))[0] * n
+            self.n += 1
+            if p & rng.MASK >= (1 << 32) % n:
+                return p >> 32
+
+
+def run_scene(scene: dict, chunk: int | None = None) -> tuple[list[dict], list[tuple[int, int]]]:
+    """Checkpoints and log of a scene of entities that schedule, poke and cancel one another.
+
+    ``chunk`` advances at most so many seconds at a time; results do not depend on it.
+    """
+    r, key, clock, log = scene["rules"], rng.stream_key(scene["seed"], rng.SCHEDULES), Clock(scene["interval_s"]), []
+    ids = [*range(scene["residents"]), *(OTHERS + i for i in range(scene["others"]))]
+
+    def commands(t: int) -> None:
+        for c in (c for c in scene["commands"] if c["time"] == t):
+            for e in ids[c["first"] : c["first"] + c["count"]]:
+                if e in clock.due:
+                    clock.schedule(e, clock.due[e] + c["shift_s"])
+
+    def handle(t: int, e: int) -> None:
+        log.append((t, e))
+        draw = Draws(key, e, t).below
+        delay = r["step_s"] * (1 + draw(r["steps"]))
+        if (scene["start_weekday"] + t // DAY) % 7 >= 5:
+            delay *= r["weekend_factor"]
+        if draw(256) < r["far_per_256"]:
+            delay += DAY * (1 + draw(r["far_days"]))
+        clock.schedule(e, t + delay)
+        if draw(256) < r["poke_per_256"]:
+            clock.schedule(ids[draw(len(ids))], t + r["poke_step_s"] * (1 + draw(r["poke_steps"])))
+        if draw(256) < r["cancel_per_256"]:
+            clock.cancel(ids[draw(len(ids))])
+
+    for e, t in scene["initial"]:
+        clock.schedule(e, t)
+    checkpoints = []
+    for stop in [*scene["checkpoints_s"], scene["duration_s"]]:
+        while clock.now < stop:
+            clock.advance(min(stop, clock.now + chunk) if chunk else stop, commands, handle)
+        checkpoints.append({"live": len(clock.due), "next": [clock.due.get(e, -1) for e in ids], "t": clock.now})
+    return checkpoints[:-1], log
+
+
+def run_scenes(scenes: DataFrame) -> DataFrame:
+    """(scene, no, t, id) logs of scenes (scene long, doc string of JSON), each in its own task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s in b.itertuples():
+                _, log = run_scene(json.loads(s.doc))
+                yield pd.DataFrame({"scene": s.scene, "no": range(len(log)), "t": [t for t, _ in log], "id": [e for _, e in log]})
+
+    return scenes.repartition("scene").mapInPandas(run, "scene long, no long, t long, id long")

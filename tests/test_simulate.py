@@ -1,0 +1,47 @@
+import hashlib
+import json
+
+from kvartal.functions import rng
+from kvartal.operators import simulate
+
+# Fixed values of the scene.
+SCENE = {
+    "seed": 20261018, "interval_s": 300, "start_weekday": 4, "duration_s": 777600,
+    "checkpoints_s": [0, 3600, 86400, 90000, 259200, 345600, 432000, 604800, 777600], "residents": 24, "others": 4,
+    "rules": {"step_s": 1800, "steps": 24, "weekend_factor": 2, "far_per_256": 24, "far_days": 6, "poke_per_256": 96, "poke_step_s": 60, "poke_steps": 30, "cancel_per_256": 12},
+    "initial": [
+        [7, 1800], [2147483649, 1800], [3, 1800], [0, 0], [2147483648, 0], [12, 0], [5, 299], [6, 300], [4, 301], [1, 86399], [2, 86400], [11, 86400],
+        [9, 37], [8, 37], [10, 259199], [13, 259200], [2147483650, 600], [14, 3599], [15, 3600], [16, 7261], [17, 7261], [18, 172800], [19, 43200], [2147483651, 43200],
+    ],
+    "commands": [
+        {"time": 0, "first": 0, "count": 4, "shift_s": 600}, {"time": 86400, "first": 0, "count": 28, "shift_s": 7200},
+        {"time": 86400, "first": 0, "count": 5, "shift_s": 30}, {"time": 432000, "first": 10, "count": 8, "shift_s": 259200},
+    ],
+}
+#: Digests of the known checkpoints and log, as compact JSON with sorted keys.
+CHECKPOINTS, LOG = "ea305cea581f9a63cc661cd9a8b5d69a097dc82572f6bf82b0a09e2542bf2ba6", "f3d2381fb600a1388652e6c4f1e486965ce495d7e279c80800e2e2e9295a208c"
+
+
+def sha(x):
+    return hashlib.sha256(json.dumps(x, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+
+
+def test_philox_known_answers():
+    assert [f"{w:08x}" for w in rng.philox_ints((0, 0), (0, 0, 0, 0))] == ["6627e8d5", "e169c58d", "bc57ac4c", "9b00dbd8"]
+    f = 0xFFFFFFFF
+    assert [f"{w:08x}" for w in rng.philox_ints((f, f), (f, f, f, f))] == ["408f276d", "41c83b0e", "a20bc7c6", "6d5451fd"]
+
+
+def test_scene_is_reproduced():
+    checkpoints, log = simulate.run_scene(SCENE)
+    assert len(log) == 698 and log[:4] == [(0, 12), (0, 2147483648), (37, 8), (37, 9)]
+    assert sha(log) == LOG and sha(checkpoints) == CHECKPOINTS
+
+
+def test_slicing_does_not_matter(spark):
+    assert simulate.run_scene(SCENE, chunk=900) == simulate.run_scene(SCENE)
+    docs = spark.createDataFrame([(i, json.dumps(SCENE | {"seed": i})) for i in range(6)], "scene long, doc string")
+    got = {}
+    for r in simulate.run_scenes(docs).orderBy("scene", "no").collect():
+        got.setdefault(r.scene, []).append((r.t, r.id))
+    assert got == {i: simulate.run_scene(SCENE | {"seed": i})[1] for i in range(6)}
