@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from kvartal.plans import base, moving, people, space, time  # noqa: F401
+from kvartal.plans import base, city, moving, people, space, time  # noqa: F401
