@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from kvartal.scratch import Scratch
+
 
 def cell(x: Column, size: int) -> Column:
     """Grid index of an integer coordinate, floored also below zero."""
@@ -41,18 +43,20 @@ def nearest(a: DataFrame, b: DataFrame, radius: int, k: int = 1) -> DataFrame:
 
 
 def nearest_any(a: DataFrame, b: DataFrame, first: int, most: int) -> DataFrame:
-    """(a_id, b_id, d2): the nearest b at any distance up to ``most``, by rings that double.
+    """(a_id, b_id, d2): the nearest b at any distance up to ``most``, by rings that grow fourfold.
 
     A ring is only searched for points that found nothing nearer, so most rows meet few cells.
+    What a ring found is written before the next, which else would search it again.
     """
+    scratch = Scratch(a.sparkSession, "nearest")
     out, left, r = None, a, first
     while True:
-        hit = nearest(left, b, r).select("a_id", "b_id", "d2")
+        hit = scratch.save(nearest(left, b, r).select("a_id", "b_id", "d2"), "ring")
         out = hit if out is None else out.unionByName(hit)
-        if r >= most:
+        left = a.join(out.select("a_id"), "a_id", "left_anti")
+        if r >= most or left.isEmpty():
             return out
-        left = left.join(hit.select("a_id"), "a_id", "left_anti")
-        r = min(2 * r, most)
+        r = min(4 * r, most)
 
 
 def inside(x: Column, y: Column, polygon: list[tuple[int, int]]) -> Column:
