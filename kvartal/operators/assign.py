@@ -97,24 +97,13 @@ def calibrate(have: DataFrame, want: DataFrame, rounds: int = 8) -> DataFrame:
     return cur.join(base, ["row", "col"]).select("row", "col", F.try_divide("n", "n0").alias("f"))
 
 
-def pair_platforms(members: DataFrame) -> DataFrame:
-    """(route, stop, platform) of route members (route, seq, kind, id): each stop with the next platform before the next stop.
+def pair_platforms(members: DataFrame, order: list[str]) -> DataFrame:
+    """(route, stop, platform) of route members (route, kind, id and the columns of ``order``).
 
-    Order decides and each platform serves once, so a route is one group; routes are short.
+    A stop takes the first platform between it and the next stop, null if there is none; each
+    platform serves once. Among stops and platforms alone that is whatever comes next, so one
+    window does what a walk along the route would.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, waiting = [], None
-        for m in pdf.sort_values("seq").itertuples():
-            if m.kind == "stop":
-                if waiting is not None:
-                    out.append((m.route, waiting, None))
-                waiting = m.id
-            elif m.kind == "platform" and waiting is not None:
-                out.append((m.route, waiting, m.id))
-                waiting = None
-        if waiting is not None:
-            out.append((pdf["route"].iloc[0], waiting, None))
-        return pd.DataFrame(out, columns=["route", "stop", "platform"]).astype({"platform": "Int64"})
-
-    return members.groupBy("route").applyInPandas(run, "route long, stop long, platform long")
+    w = W.Window.partitionBy("route").orderBy(*order)
+    rows = members.where(F.col("kind").isin("stop", "platform")).withColumns({"_k": F.lead("kind").over(w), "_i": F.lead("id").over(w)})
+    return rows.where("kind = 'stop'").select("route", F.col("id").alias("stop"), F.when(F.col("_k") == "platform", F.col("_i")).alias("platform"))
