@@ -15,10 +15,6 @@ from kvartal.scratch import Scratch
 MAX_ROUNDS = 60
 
 
-def _least(edges: DataFrame, key: str, other: str) -> DataFrame:
-    return edges.groupBy(F.col(key).alias("u")).agg(F.least(F.min(other), F.first(key)).alias("m"))
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a long, b long) links -> (node long, component long): the least node reachable.
 
@@ -29,27 +25,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     cur = scratch.save(e.distinct(), "links")
     seen = None
     for _ in range(MAX_ROUNDS):
-        both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-            cur.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        large = (
-            both.join(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "u")
-            .where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("a"), F.col("m").alias("b"))
-            .where(F.col("a") != F.col("b"))
-            .distinct()
-        )
+        both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        # minima are written before they are joined: beside a fresh aggregate the links of a hub could not be split
+        around = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "least")
+        large = both.join(around, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
+        large = scratch.save(large.distinct(), "large")
         # of large-star every a exceeds its b: small-star hangs a and its b on a's least b
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(least, "a")
-            .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-            .select("x.a", "x.b")
-            .where(F.col("a") != F.col("b"))
-            .distinct()
-        )
+        least = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        own, other = F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(least, "a").select(F.explode(F.array(own, other)).alias("x")).select("x.a", "x.b").where(F.col("a") != F.col("b")).distinct()
         new = scratch.save(small, "links")
-        scratch.drop(cur)
+        for old in (cur, around, large, least):
+            scratch.drop(old)
         cur = new
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
