@@ -1,28 +1,29 @@
-"""Main text of web pages by equivalence-class template deduction.
-
-Arasu and Garcia-Molina, "Extracting Structured Data from Web Pages" (2003): tags that
-occur equally often on every page of a host belong to its template; classes of tags with
-equal occurrence vectors nest, and what lies between their tags are slots of content.
-
-A tag is told by its path with classes and ids. Its occurrence vector is never gathered:
-each (host, path) has the number of pages and a sum of page-wise hashes of its counts, so
-equal vectors have equal sums, however many pages a host has, and the sums combine
-map-side. The template of a host is its largest classes, those on most of its pages; the
-container of its main slot is the innermost template element that holds most of the text
-outside menus, headers, footers and the like. Pages without that container, and hosts with
-too few pages to deduce one, fall back on ``article`` and ``main``, then on the body.
+"""Main text of web pages by the template of their host.
+
+After Arasu and Garcia-Molina, "Extracting Structured Data from Web Pages" (2003): what the
+pages of a host have in common is its template, what differs fills its slots. Their nested
+classes of equal occurrence vectors are not built; the container of the main slot is found
+by names, density and repetition.
+
+An element is told by its path with classes and ids, and counted by its opening tags. The
+container is first the innermost structural element that no page of the host has twice and
+that holds most of the text outside menus, headers, footers and the like. It then grows to
+the innermost element around all text of its pages that the template does not repeat. An
+``article`` or ``main`` around it stands for the whole. Pages without that container, and
+hosts with too few pages to deduce one, fall back on ``article`` and ``main``, then on the
+body.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from kvartal.scratch import Scratch
 
@@ -30,6 +31,9 @@ from kvartal.scratch import Scratch
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
 #: The main slot holds at least this share of the text that is not set aside by name.
 MAIN_SHARE = 0.5
+#: Elements that hold other blocks. Paragraphs, headings, lists and tables are parts of a slot.
+_HOLDERS = frozenset("article main section div body td center details figure blockquote".split())
+_HEADING = re.compile(r"/h[1-6](?:[.#][^/]*)?$")
 #: Bytes of the table of containers up to which it is broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -71,8 +75,11 @@ def _aside(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     return bool(_NAMES.search(_TITLES.sub(" ", named)))
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(path, text, set aside) of the page's blocks of text in order; references decoded, white space single."""
+def blocks(page: str, opened: dict[str, int] | None = None) -> list[tuple[str, str, bool]]:
+    """(path, text, set aside) of the page's blocks of text in order; references decoded, white space single.
+
+    ``opened`` is given the number of opening tags of every path that is not set aside.
+    """
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, path, aside
     text: list[str] = []
@@ -131,7 +138,10 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
         up = stack[-1] if stack else ("", "", False)
         aside = up[2] or _aside(tag, attrs, find(("article", "main")) >= 0)
         label = tag + "".join("." + c for c in attrs.get("class", "").lower().split()) + ("#" + attrs["id"].lower() if attrs.get("id") else "")
+        label = label.replace("/", "|")
         path = up[1] if tag in _INLINE else f"{up[1]}/{label}"
+        if opened is not None and not aside and tag not in _INLINE:
+            opened[path] = opened.get(path, 0) + 1
         stack.append((tag, path, aside))
     text.append(page[at:])
     stack_end = len(stack)
@@ -171,46 +181,73 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page and element path: times a block begins in it anew, and characters of text inside."""
+    """For each page: elements with their opening tags and characters of text inside (no hash), and blocks of text."""
     for b in batches:
-        hosts, keys, paths, times, chars = [], [], [], [], []
+        hosts, keys, paths, times, chars, texts = [], [], [], [], [], []
         for url, key, page in zip(b.column("url").to_pylist(), b.column("key").to_pylist(), b.column("html")):
-            host, seen, size, last = host_of(url), {}, {}, []
-            for path, t, aside in blocks(page.as_py() or ""):
+            host, opened, size, said = host_of(url), {}, {}, {}
+            for path, t, aside in blocks(page.as_py() or "", opened):
                 if aside:
-                    last = []
                     continue
-                steps = _steps(path)
-                for s in steps:
-                    if s not in last:
-                        seen[s] = seen.get(s, 0) + 1
+                for s in _steps(path):
                     size[s] = size.get(s, 0) + len(t)
-                last = steps
-            for s, k in seen.items():
-                hosts.append(host), keys.append(key), paths.append(s), times.append(k), chars.append(size[s])
+                # fields with digits differ from page to page in what the template says, but a heading is a title
+                skeleton = t if _HEADING.search(path) else re.sub(r"\d+", "0", t)
+                said[path, _hash(skeleton)] = said.get((path, _hash(skeleton)), 0) + len(t)
+            for s, k in opened.items():
+                paths.append(s), times.append(k), chars.append(size.get(s, 0)), texts.append(None)
+            for (s, h), k in said.items():
+                paths.append(s), times.append(1), chars.append(k), texts.append(h)
+            hosts += [host] * (len(paths) - len(hosts))
+            keys += [key] * (len(paths) - len(keys))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(times, pa.int64()), pa.array(chars, pa.int64())],
-            names=["host", "key", "path", "times", "chars"],
+            [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(times, pa.int64()), pa.array(chars, pa.int64()), pa.array(texts, pa.int64())],
+            names=["host", "key", "path", "times", "chars", "said"],
         )
 
 
-def containers(pages: DataFrame) -> DataFrame:
+def _small(df: DataFrame, scratch: Scratch) -> DataFrame:
+    return F.broadcast(df) if scratch.size(df) <= BROADCAST_BYTES else df
+
+
+def _inside(path: str, container: str) -> Column:
+    return (F.col(path) == F.col(container)) | F.col(path).startswith(F.concat(container, F.lit("/")))
+
+
+def containers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, container): the innermost element of a host's template that holds its main slot."""
-    each = pages.select("url", F.xxhash64("page_id", "url", "html").alias("key"), "html").mapInArrow(_occurrences, "host string, key long, path string, times long, chars long")
-    vector = F.sum(F.xxhash64("key", "times").bitwiseAND(F.lit((1 << 31) - 1)))
-    tags = each.groupBy("host", "path").agg(F.count("*").alias("pages"), vector.alias("vector"), F.max("times").alias("most"), F.sum("chars").alias("chars"))
-    host = W.Window.partitionBy("host")
-    # the first class is that of the outermost elements: on every page with text
-    tags = tags.withColumn("all", F.max("pages").over(host)).withColumn("text", F.max("chars").over(host))
-    kind = tags.withColumn("size", F.count("*").over(W.Window.partitionBy("host", "vector", "pages")))
-    template = kind.where((F.col("all") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all")) & (F.col("most") == 1) & (F.col("chars") >= MAIN_SHARE * F.col("text")))
+    each = pages.select("url", F.xxhash64("page_id", "url", "html").alias("key"), "html").mapInArrow(_occurrences, "host string, key long, path string, times long, chars long, said long")
+    each = scratch.save(each, "occurrences")
+    elements, texts = each.where("said IS NULL"), each.where("said IS NOT NULL")
+    tags = elements.groupBy("host", "path").agg(F.count("*").alias("pages"), F.max("times").alias("most"), F.sum("chars").alias("chars"))
+    tags = scratch.save(tags, "tags")
+    all_ = tags.groupBy("host").agg(F.max("pages").alias("all"), F.max("chars").alias("text"))
+    last = F.element_at(F.split("path", "/"), -1)
+    holder = F.regexp_extract(last, r"^([^.#]*)", 1).isin(*sorted(_HOLDERS))
+    template = tags.join(all_, "host").where((F.col("all") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all")) & (F.col("most") == 1) & holder & (F.col("chars") >= MAIN_SHARE * F.col("text")))
     depth = F.length(F.regexp_replace("path", "[^/]", ""))
-    # innermost; of equals the one with more text, in the larger class
-    best = template.groupBy("host").agg(F.max_by("path", F.struct(depth, "chars", "size", "path")).alias("container"))
+    best = template.groupBy("host").agg(F.max_by(F.struct("path", "pages"), F.struct(depth, "chars", "path")).alias("b")).select("host", F.col("b.path").alias("container"), F.col("b.pages").alias("of"))
     # an element inside an article or main stands for the whole of it
     whole = F.regexp_extract("container", r"^(.*?/(?:article|main)(?:[.#][^/]*)?)(?:/|$)", 1)
-    best = best.withColumn("container", F.when(F.length(whole) > 0, whole).otherwise(F.col("container")))
+    best = scratch.save(best.withColumn("whole", whole), "innermost")
+
+    # what else the pages with that element say, other than what most of them say
+    open_ = _small(best, scratch).where("whole = ''")
+    has = elements.join(open_, "host").where("path = container").select("host", "key")
+    outside = texts.join(open_, "host").where(~_inside("path", "container")).join(has, ["host", "key"], "left_semi")
+    outside = outside.groupBy("host", "container", "of", "path", "said").agg(F.count("*").alias("n"))
+    slots = outside.where((F.col("n") < LEAST_PAGES) | (F.col("n") < LEAST_SHARE * F.col("of")))
+    # steps that its path and the container's have in common
+    a, b = F.split("path", "/"), F.split("container", "/")
+    same = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i)))
+    grown = slots.groupBy("host").agg(F.min(same).alias("steps"))
+    around = F.array_join(F.slice(F.split("container", "/"), F.lit(1), F.col("steps")), "/")
+    best = best.join(grown, "host", "left").select("host", F.when(F.col("whole") != "", F.col("whole")).when(F.col("steps").isNotNull(), around).otherwise(F.col("container")).alias("container"))
     # a template that is no more than the page itself tells nothing
     return best.where(~F.col("container").rlike(r"^(/html[^/]*)?(/body[^/]*)?$"))
 
@@ -223,8 +260,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     looked at.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    known = scratch.save(containers(pages), "containers")
-    known = F.broadcast(known) if scratch.size(known) <= BROADCAST_BYTES else known
+    known = _small(scratch.save(containers(pages, scratch), "containers"), scratch)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host")).join(known, "host", "left").select("page_id", "url", "html", "container")
     kind = pages.schema["page_id"].dataType.simpleString()

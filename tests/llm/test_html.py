@@ -35,6 +35,33 @@ def test_template_finds_the_main_slot(spark):
     assert html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string").limit(0)).count() == 0
 
 
+SCHEMA = "page_id long, url string, html string"
+PROSE = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+
+
+def said(i, n=12):
+    return " ".join(PROSE[(i * 7 + k * k) % 10] for k in range(n)) + f" of {'abcdefghij'[i]}"
+
+
+def pages_of(spark, bodies):
+    docs = [(i, f"https://c.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(docs, SCHEMA)).collect()}
+
+
+def test_container_keeps_headlines_and_siblings(spark):
+    got = pages_of(spark, [f'<div class="story"><h1>Title {i}</h1><p>{said(i, 40)}</p><p>{said(i, 30)} end</p></div>' for i in range(6)])
+    assert got[2] == f"Title 2\n{said(2, 40)}\n{said(2, 30)} end"
+    got = pages_of(spark, [f'<div class="story"><h1>Title {i}</h1><p>{said(i, 60)}</p></div>' for i in range(6)])
+    assert got[2] == f"Title 2\n{said(2, 60)}"
+    got = pages_of(spark, [f'<div class="w-1/2"><div class="lead">{said(i)}</div><div class="text"><p>{said(i, 50)}</p></div></div><div class="x"><p>Seen {i} times</p></div>' for i in range(6)])
+    assert got[4] == f"{said(4)}\n{said(4, 50)}"
+
+
+def test_an_advert_inside_does_not_make_two_elements(spark):
+    bodies = [f'<div class="story"><p>{said(i, 30)}</p>{"<form>f</form>" if i == 1 else ""}<p>{said(i, 20)}</p></div><div class="x"><p>Seen {i} times</p></div>' for i in range(6)]
+    assert pages_of(spark, bodies)[1] == f"{said(1, 30)}\n{said(1, 20)}"
+
+
 def test_query(spark, sf_dir):
     from kvartal.llm.queries import queries
 
