@@ -9,7 +9,9 @@ An element is told by its path with classes and ids, and counted by its opening
 container is first the innermost structural element that no page of the host has twice and
 that holds most of the text outside menus, headers, footers and the like. It then grows to
 the innermost element around all text of its pages that the template does not repeat. An
-``article`` or ``main`` around it stands for the whole. Pages without that container, and
+``article`` or ``main`` around it stands for the whole. Blocks inside it that every one of
+its pages has in the same words at the same path are template and go, unless they are most
+of what it holds: then the pages are copies of each other. Pages without that container, and
 hosts with too few pages to deduce one, fall back on ``article`` and ``main``, then on the
 body.
 """
@@ -161,9 +163,13 @@ def _is(path: str, name: str) -> bool:
     return re.split(r"[.#]", last, maxsplit=1)[0] == name
 
 
-def extract(page: str | None, container: str | None = None) -> str:
-    """The main text: blocks inside the container that are not set aside, one a line."""
-    found = [b for b in blocks(page or "") if not b[2]]
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def extract(page: str | None, container: str | None = None, template: frozenset[int] = frozenset()) -> str:
+    """The main text: blocks inside the container that are not set aside or of the template, one a line."""
+    found = [b for b in blocks(page or "") if not b[2] and (not template or _hash(f"{b[0]}\n{b[1]}") not in template)]
     for test in (
         lambda p: container is not None and (p == container or p.startswith(container + "/")),
         lambda p: any(_is(s, "article") for s in _steps(p)),
@@ -181,14 +187,10 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each page: elements with their opening tags and characters of text inside (no hash), and blocks of text."""
     for b in batches:
-        hosts, keys, paths, times, chars, texts = [], [], [], [], [], []
+        hosts, keys, paths, times, chars, texts, exact = [], [], [], [], [], [], []
         for url, key, page in zip(b.column("url").to_pylist(), b.column("key").to_pylist(), b.column("html")):
             host, opened, size, said = host_of(url), {}, {}, {}
             for path, t, aside in blocks(page.as_py() or "", opened):
@@ -198,16 +200,18 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size[s] = size.get(s, 0) + len(t)
                 # fields with digits differ from page to page in what the template says, but a heading is a title
                 skeleton = t if _HEADING.search(path) else re.sub(r"\d+", "0", t)
-                said[path, _hash(skeleton)] = said.get((path, _hash(skeleton)), 0) + len(t)
+                at = path, _hash(skeleton), _hash(f"{path}\n{t}")
+                said[at] = said.get(at, 0) + len(t)
             for s, k in opened.items():
-                paths.append(s), times.append(k), chars.append(size.get(s, 0)), texts.append(None)
-            for (s, h), k in said.items():
-                paths.append(s), times.append(1), chars.append(k), texts.append(h)
+                paths.append(s), times.append(k), chars.append(size.get(s, 0)), texts.append(None), exact.append(None)
+            met = set()
+            for (s, h, e), k in said.items():
+                paths.append(s), times.append(int((s, h) not in met)), met.add((s, h)), chars.append(k), texts.append(h), exact.append(e)
             hosts += [host] * (len(paths) - len(hosts))
             keys += [key] * (len(paths) - len(keys))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(times, pa.int64()), pa.array(chars, pa.int64()), pa.array(texts, pa.int64())],
-            names=["host", "key", "path", "times", "chars", "said"],
+            [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(times, pa.int64()), pa.array(chars, pa.int64()), pa.array(texts, pa.int64()), pa.array(exact, pa.int64())],
+            names=["host", "key", "path", "times", "chars", "said", "exact"],
         )
 
 
@@ -220,8 +224,8 @@ def _inside(path: str, container: str) -> Column:
 
 
 def containers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, container): the innermost element of a host's template that holds its main slot."""
-    each = pages.select("url", F.xxhash64("page_id", "url", "html").alias("key"), "html").mapInArrow(_occurrences, "host string, key long, path string, times long, chars long, said long")
+    """(host, container, template): the innermost element that holds a host's main slot, null if that is the page, and the hashes of the blocks in it that all its pages repeat."""
+    each = pages.select("url", F.xxhash64("html").alias("key"), "html").mapInArrow(_occurrences, "host string, key long, path string, times long, chars long, said long, exact long")
     each = scratch.save(each, "occurrences")
     elements, texts = each.where("said IS NULL"), each.where("said IS NOT NULL")
     tags = elements.groupBy("host", "path").agg(F.count("*").alias("pages"), F.max("times").alias("most"), F.sum("chars").alias("chars"))
@@ -240,7 +244,7 @@ def containers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     open_ = _small(best, scratch).where("whole = ''")
     has = elements.join(open_, "host").where("path = container").select("host", "key")
     outside = texts.join(open_, "host").where(~_inside("path", "container")).join(has, ["host", "key"], "left_semi")
-    outside = outside.groupBy("host", "container", "of", "path", "said").agg(F.count("*").alias("n"))
+    outside = outside.groupBy("host", "container", "of", "path", "said").agg(F.sum("times").alias("n"))
     slots = outside.where((F.col("n") < LEAST_PAGES) | (F.col("n") < LEAST_SHARE * F.col("of")))
     # steps that its path and the container's have in common
     a, b = F.split("path", "/"), F.split("container", "/")
@@ -248,8 +252,17 @@ def containers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     grown = slots.groupBy("host").agg(F.min(same).alias("steps"))
     around = F.array_join(F.slice(F.split("container", "/"), F.lit(1), F.col("steps")), "/")
     best = best.join(grown, "host", "left").select("host", F.when(F.col("whole") != "", F.col("whole")).when(F.col("steps").isNotNull(), around).otherwise(F.col("container")).alias("container"))
-    # a template that is no more than the page itself tells nothing
-    return best.where(~F.col("container").rlike(r"^(/html[^/]*)?(/body[^/]*)?$"))
+    best = scratch.save(best, "grown")
+
+    known = _small(best, scratch)
+    here = elements.join(known, "host").where("path = container").groupBy("host").agg(F.count("*").alias("n"), F.countDistinct("key").alias("unlike"), F.sum("chars").alias("held"))
+    held = texts.join(known, "host").where(_inside("path", "container")).groupBy("host", "exact").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"))
+    same = held.join(here, "host").where((F.col("k") == F.col("n")) & (F.col("unlike") >= LEAST_PAGES))
+    # pages that say mostly the same are copies
+    same = same.groupBy("host", "held").agg(F.collect_list("exact").alias("template"), F.sum("chars").alias("chars")).where(F.col("chars") < MAIN_SHARE * F.col("held"))
+    # a container that is no more than the page itself tells nothing
+    page = F.col("container").rlike(r"^(/html[^/]*)?(/body[^/]*)?$")
+    return best.join(same.select("host", "template"), "host", "left").select("host", F.when(~page, F.col("container")).alias("container"), "template")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -262,12 +275,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "html")
     known = _small(scratch.save(containers(pages, scratch), "containers"), scratch)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(known, "host", "left").select("page_id", "url", "html", "container")
+    rows = pages.select("page_id", "url", "html", host.alias("host")).join(known, "host", "left").select("page_id", "url", "html", "container", "template")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(h.as_py(), c) for h, c in zip(b.column("html"), b.column("container").to_pylist())]
+            hosts = zip(b.column("container").to_pylist(), b.column("template").to_pylist())
+            texts = [extract(h.as_py(), c, frozenset(t or ())) for h, (c, t) in zip(b.column("html"), hosts)]
             n = pa.array(map(len, texts), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), n], names=["page_id", "url", "text", "n_chars"])
 

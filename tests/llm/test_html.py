@@ -62,6 +62,13 @@ def test_an_advert_inside_does_not_make_two_elements(spark):
     assert pages_of(spark, bodies)[1] == f"{said(1, 30)}\n{said(1, 20)}"
 
 
+def test_text_that_every_page_repeats_goes(spark):
+    bodies = [f'<div class="story"><p>{said(i, 30)}</p><p>Written by our own desk</p><p>{said(i, 20)}</p></div>' for i in range(6)]
+    assert pages_of(spark, bodies)[3] == f"{said(3, 30)}\n{said(3, 20)}"
+    copies = [f'<div class="story"><p>{said(1, 30)}</p><p>{i}</p></div>' for i in range(6)]
+    assert pages_of(spark, copies)[3] == f"{said(1, 30)}\n3"
+
+
 def test_query(spark, sf_dir):
     from kvartal.llm.queries import queries
 
