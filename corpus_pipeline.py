@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; those with nothing else go."""
-    out = linededup.line_dedup(docs).where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
+    out = linededup.line_dedup(docs, least=1).where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

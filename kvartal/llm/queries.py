@@ -41,7 +41,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that recur across documents."""
-    return linededup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return linededup.line_dedup(_table(spark, sf_dir, "documents"), least=1).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
