@@ -53,9 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed corpus that the stages make of ``documents``."""
+    """The mixed corpus that the stages make of ``documents``: a row for each time that the mix takes a document, shuffled inside its shard."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
-    return docs
+    return mixing.draw(docs)

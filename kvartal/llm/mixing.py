@@ -200,9 +200,15 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, whole_rows: bool =
     return all_.select(*names, "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.transform(times, shard).alias("shards"))
 
 
-def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """The mix itself: a row for each time a document is taken, shuffled inside its shard."""
-    each = mix(docs, shards, seed, whole_rows=True).select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
+def draw(mixed: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows that ``mix`` with whole rows takes: one for each time, with copy and shard, shuffled inside its shard."""
+    keep = [c for c in mixed.columns if c not in ("copy", "shard")]
+    each = mixed.select(*keep, F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "text", "copy")
     # a shard is cut into ranges of its random order, so that none needs one large task
     return each.withColumn("o", order).repartitionByRange("shard", "o").sortWithinPartitions("shard", "o").drop("o")
+
+
+def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """The mix itself: a row for each time a document is taken, shuffled inside its shard."""
+    return draw(mix(docs, shards, seed, whole_rows=True), seed).drop("shards")

@@ -56,3 +56,12 @@ def test_odd_rows(spark, sf_dir):
             docs = stage(spark, docs, sf_dir)
         got = docs.collect()
     assert got == []
+
+
+def test_run_takes_what_the_mix_decides(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
+    mixed = corpus_pipeline.mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).collect()
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert any(not r.shards for r in mixed) and any(len(r.shards) > 1 for r in mixed)
+    assert sorted((r.doc_id, s) for r in mixed for s in r.shards) == sorted((r.doc_id, r.shard) for r in got)
+    assert sum(r.taken for r in mixed) == sum(r["size"] for r in got) and [r.shard for r in got] == sorted(r.shard for r in got)
