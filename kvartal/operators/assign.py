@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,12 +17,14 @@ from kvartal.scratch import Scratch
 ROW = 100_000
 
 
-def gravity(people: DataFrame, places: DataFrame, pull: DataFrame, seed: int, rounds: int = 6) -> DataFrame:
+def gravity(people: DataFrame, places: DataFrame, pull: DataFrame, seed: int, rounds: int | None = None) -> DataFrame:
     """(person, place, round) by rounds of parallel proposals with ranked acceptance.
 
     ``people`` (person, block), ``places`` (place, seats), ``pull`` (block, place, w integer
-    weights). In each round every person without a place draws one by weight among places of
-    their block that have seats left; a place takes the first by a random key until it is full.
+    weights). In each round every person without a place draws one by weight and seats left among
+    places of their block; a place takes the first by a random key until it is full. Rounds go on
+    until no waiting person has a place in reach with seats left, or to ``rounds``. People left
+    over have a null place and round.
     Results depend on draws only, not on partitions; capacities are never exceeded. It is not
     the person-by-person draw, which is sequential: same invariants, another sample.
     """
@@ -30,11 +33,16 @@ def gravity(people: DataFrame, places: DataFrame, pull: DataFrame, seed: int, ro
     seats = scratch.save(places.select("place", "seats").where("seats > 0"), "seats")
     waiting = scratch.save(people.select("person", "block"), "waiting")
     done = None
-    for k in range(rounds):
-        open_ = pull.where("w > 0").join(seats, "place").select("block", "place", "w")
+    all_seats = seats.withColumnRenamed("seats", "all")
+    for k in itertools.count() if rounds is None else range(rounds):
+        # the share of its seats that a place has left, in 2^10 steps, scales its weight
+        left = F.greatest(F.lit(1), F.floor(F.col("seats") * 1024 / F.col("all"))).cast("long")
+        open_ = pull.where("w > 0").join(seats.join(all_seats, "place"), "place").select("block", "place", (F.col("w") * left).alias("w"))
         rows = open_.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("c"), F.sum("w").alias("total"))
         draw = rng.philox(waiting, key, [F.col("person"), F.lit(k), F.lit(0), F.lit(2)], ["r0", "r1", "r2", "r3"])
-        goal = F.shiftright(F.col("r0") * F.col("total"), 32)
+        # 31 bits of the draw times the total, in two parts that fit a long
+        bits, low = F.shiftright("r0", 1), F.lit((1 << 31) - 1)
+        goal = bits * F.shiftright("total", 31) + F.shiftright(bits * F.col("total").bitwiseAND(low), 31)
         pick = F.aggregate(
             "c",
             F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("place")),
@@ -48,9 +56,11 @@ def gravity(people: DataFrame, places: DataFrame, pull: DataFrame, seed: int, ro
         taken = got.groupBy("place").agg(F.count("*").alias("t"))
         seats = scratch.save(seats.join(taken, "place", "left").select("place", (F.col("seats") - F.coalesce("t", F.lit(0))).alias("seats")).where("seats > 0"), "seats")
         waiting = scratch.save(waiting.join(got.select("person"), "person", "left_anti"), "waiting")
-        if seats.isEmpty() or waiting.isEmpty():
+        # who has an open place in reach asks, and a place that is asked takes someone
+        if got.isEmpty() or seats.isEmpty() or waiting.isEmpty():
             break
-    return done
+    none = waiting.select("person", F.lit(None).cast(seats.schema["place"].dataType).alias("place"), F.lit(None).cast("int").alias("round"))
+    return none if done is None else done.unionByName(none)
 
 
 def compose(homes: DataFrame, seed: int) -> DataFrame:

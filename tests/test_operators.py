@@ -61,6 +61,16 @@ def test_gravity_keeps_capacities(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_gravity_leaves_no_one_while_seats_are_in_reach(spark):
+    # one place after another is asked by all, as its weight is far above the next one's
+    people = spark.range(42).select(F.col("id").alias("person"), F.when(F.col("id") < 40, 0).otherwise(1).cast("long").alias("block"))
+    places = spark.range(10).select(F.col("id").alias("place"), F.lit(4).alias("seats"))
+    pull = places.select(F.lit(0).cast("long").alias("block"), "place", F.expr("cast(pow(8, place) as long)").alias("w"))
+    got = assign.gravity(people, places, pull, 1).collect()
+    assert len(got) == 42 and {(r.person, r.place, r["round"]) for r in got if r.person >= 40} == {(40, None, None), (41, None, None)}
+    assert all(sum(r.place == p for r in got) == 4 for p in range(10)) and max(r["round"] or 0 for r in got) >= 6
+
+
 def test_largest_remainder_in_groups(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("b", 4, 7), ("b", 5, 3)], "g string, id long, w long")
     got = {r.id: r.share for r in alloc.largest_remainder(df, 10, "w", "id", ["g"]).collect()}
