@@ -3,14 +3,16 @@
 Every document has a random key from its own contents, which orders its source. A source
 of S words with a target of T words is read floor(T / S) times whole, and once more up to
 the remainder. The order is cut into blocks by the leading bits of the key; block sizes
-say which blocks the remainder takes whole, and the block at its edge is cut again until
-few documents are left, which are taken in order wherever they still fit.
+say how many blocks the remainder has whole, and the block at its edge is cut again into
+smaller ones until few documents are left; those of them that still fit are the last block.
 
-The blocks drawn from each source are exact quotas. A binary tree over the output shards
-splits them: the left half of a node's shards gets its share of the node's blocks by a
-multivariate-hypergeometric draw, the right half the rest. A shard then owns the next
-blocks in the permuted order of each source, disjoint from other shards', and is shuffled
-locally by key. Only per-source totals and BLOCKS sizes a source reach the driver.
+So each source has an exact quota of blocks in its permuted order. A binary tree over the
+output shards splits the quotas: the left half of a node's shards gets its share of the
+node's blocks by a multivariate-hypergeometric draw, the right half the rest. A shard owns
+the next blocks in the order of each source, disjoint from other shards', and is shuffled
+locally by key. What the mix takes of a document is the blocks with it that shards own.
+
+The driver holds one record for each source (a catalogue), and block sizes of one at a time.
 
 Main path: DataFrame operations only.
 """
@@ -18,22 +20,25 @@ Main path: DataFrame operations only.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from kvartal.llm.names import fresh
 from kvartal.scratch import Scratch
 
+NAMES = ("size", "source_size", "target", "taken", "shards")
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
 SHARDS = 16
 #: Blocks are cut by this many bits at a time; an edge of at most CELL rows is not cut again.
 BITS, CELL = 8, 512
 _KEY_BITS = 63
-#: Tables of plans with at most so many sources are broadcast; more are joined by shuffling.
-BROADCAST_SOURCES = 100_000
+#: Bytes of a plan's table up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def size_of(text: Column) -> Column:
@@ -57,9 +62,11 @@ class Share:
     target: float = 0.0
     times: int = 0
     rest: int = 0
-    cut: int = 0  # keys below are taken once more
+    cut: int = 0  # keys below are in whole blocks of the last round
     end: int = 0  # keys from cut up to here are the edge
-    bounds: list[int] = field(default_factory=list)
+    blocks: int = 0
+    levels: list[tuple[int, int, int, int]] = field(default_factory=list)  # keys from, up to, bits of a block, blocks before
+    bounds: list[int] = field(default_factory=list)  # of the shards, in blocks
 
 
 def targets(sizes: list[int], weights: list[int], most: int = MOST_TIMES) -> list[float]:
@@ -75,7 +82,8 @@ def targets(sizes: list[int], weights: list[int], most: int = MOST_TIMES) -> lis
         for i in over:
             out[i] = float(most * sizes[i])
         left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
+        gone = set(over)
+        free = [i for i in free if i not in gone]
     return out
 
 
@@ -102,25 +110,31 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+def _small(df: DataFrame, scratch: Scratch) -> DataFrame:
+    return F.broadcast(df) if scratch.size(df) <= BROADCAST_BYTES else df
+
+
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def _cells(slim: DataFrame, open_: list[Share], shift: int) -> dict:
-    """Sizes and rows of the blocks inside the current edges, by source."""
-    spark = slim.sparkSession
-    edges = spark.createDataFrame([(s.source, s.cut, s.end - 1) for s in open_], "s string, lo long, hi long")
-    edges = F.broadcast(edges) if len(open_) <= BROADCAST_SOURCES else edges
-    inside = slim.join(edges, _same(F.col("source"), F.col("s")) & F.col("u").between(F.col("lo"), F.col("hi")))
+def _inside(slim: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """Documents whose key lies between lo and hi of their source's row."""
+    edges = slim.sparkSession.createDataFrame(rows, f"s string, lo long, hi long{schema}")
+    edges = F.broadcast(edges) if sum(40 + 4 * len(r[0] or "") for r in rows) <= BROADCAST_BYTES else edges
+    return slim.join(edges, _same(F.col("source"), F.col("s")) & F.col("u").between(F.col("lo"), F.col("hi")))
+
+
+def _cells(slim: DataFrame, open_: list[Share], shift: int):
+    """(source, sorted (block, size, rows) inside its edge) of one source after another."""
+    inside = _inside(slim, [(s.source, s.cut, s.end - 1) for s in open_], "")
     cells = inside.groupBy("source", F.shiftright("u", shift).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
-    out: dict = {}
-    for r in cells.collect():  # at most 2 ** BITS a source
-        out.setdefault(r.source, []).append((r.cell, r["size"], r.rows))
-    return out
+    for source, rows in groupby(cells.orderBy("source", "cell").toLocalIterator(), lambda r: r.source):
+        yield source, [(r.cell, r["size"], r.rows) for r in rows]
 
 
 def plan(slim: DataFrame, shards: int, seed: int) -> tuple[list[Share], DataFrame]:
-    """Shares of all sources in order, and (s, k) the keys taken of their edges."""
+    """Shares of all sources in order, and (s, k, n, c, m): of c edge documents with key k and n words m are taken."""
     got = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     shares = sorted((Share(r.source, r["size"], r.rows) for r in got), key=lambda s: (s.source is None, s.source or ""))
     goal = targets([s.size for s in shares], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(shares))])
@@ -129,84 +143,119 @@ def plan(slim: DataFrame, shards: int, seed: int) -> tuple[list[Share], DataFram
         if s.size:
             s.times, s.rest = divmod(round(t), s.size)
         s.end = 1 << _KEY_BITS if s.rest else 0
-    shift = _KEY_BITS
+        s.blocks = s.times << BITS
+    by, shift = {s.source: s for s in shares}, _KEY_BITS
     while shift > 0 and (open_ := [s for s in shares if s.rest and s.rows > CELL]):
         shift = max(0, shift - BITS)
-        cells = _cells(slim, open_, shift)
-        for s in open_:
-            found, edge = sorted(cells.get(s.source, [])), 0
+        for source, found in _cells(slim, open_, shift):
+            s, edge, start = by[source], 0, by[source].cut
             while edge < len(found) and found[edge][1] <= s.rest:
                 s.rest -= found[edge][1]
                 edge += 1
-            if edge == len(found):
-                s.cut, s.rest = s.end, 0
-                continue
-            s.cut, s.rows, last = found[edge][0] << shift, 0, edge
+            s.cut = found[edge][0] << shift if edge < len(found) else s.end
+            s.levels.append((start, s.cut, shift, s.blocks))
+            s.blocks += (s.cut - start) >> shift
+            s.rows, last = 0, edge
             while last < len(found) and (last == edge or s.rows + found[last][2] <= CELL):
                 s.rows += found[last][2]  # more documents to fill the gap from, where the block is small
                 last += 1
-            s.end = (found[last - 1][0] + 1) << shift
-    blocks = [s.times << BITS for s in shares]
-    for i, s in enumerate(shares):
-        if s.end:  # up to the block that the edge lies in
-            blocks[i] += ((s.end - 1) >> (_KEY_BITS - BITS)) + 1
-    leaves = split_quotas(blocks, shards, seed)
+            s.end = (found[last - 1][0] + 1) << shift if last > edge else s.cut
+            s.rest *= last > edge
+    for s in shares:
+        s.blocks += bool(s.rest)
+    leaves = split_quotas([s.blocks for s in shares], shards, seed)
     for i, s in enumerate(shares):
         s.bounds = np.cumsum([leaf[i] for leaf in leaves]).tolist()
 
-    open_ = [s for s in shares if s.rest and s.end > s.cut]
-    edges = slim.sparkSession.createDataFrame([(s.source, s.cut, s.end - 1, s.rest) for s in open_], "s string, lo long, hi long, rest long")
-    edges = F.broadcast(edges) if len(open_) <= BROADCAST_SOURCES else edges
-    inside = slim.join(edges, _same(F.col("source"), F.col("s")) & F.col("u").between(F.col("lo"), F.col("hi")))
-    units = inside.groupBy("s", "u", "rest").agg(F.sum("size").alias("n"))
-    lists = units.groupBy("s", "rest").agg(F.array_sort(F.collect_list(F.struct("u", "n"))).alias("units"))
-    fits = F.aggregate(
-        "units",
-        F.struct(F.col("rest").alias("gap"), F.array().cast("array<bigint>").alias("keys")),
-        lambda a, x: F.when(x.n <= a.gap, F.struct((a.gap - x.n).alias("gap"), F.concat(a["keys"], F.array(x.u)).alias("keys"))).otherwise(a),
-        lambda a: a["keys"],
-    )
-    return shares, lists.select("s", F.explode(fits).alias("k"))
+    inside = _inside(slim, [(s.source, s.cut, s.end - 1, s.rest) for s in shares if s.rest], ", rest long")
+    units = inside.where("size > 0").groupBy("s", "rest", "u", "size").agg(F.count("*").alias("c"))
+    lists = units.groupBy("s", "rest").agg(F.array_sort(F.collect_list(F.struct("u", F.col("size").alias("n"), "c"))).alias("units"))
+    none = F.array().cast("array<struct<u:bigint,n:bigint,c:bigint,m:bigint>>")
+
+    def add(a: Column, x: Column) -> Column:
+        m = F.least(x.c, F.floor(a.gap / x.n))
+        taken = F.concat(a["take"], F.array(F.struct(x.u.alias("u"), x.n.alias("n"), x.c.alias("c"), m.alias("m"))))
+        # the least one left over, with what is taken of its equals
+        spare = F.when((m < x.c) & (a.spare.isNull() | (x.n < a.spare.n)), F.struct(x.n.alias("n"), x.u.alias("u"))).otherwise(a.spare)
+        return F.struct((a.gap - m * x.n).alias("gap"), taken.alias("take"), spare.alias("spare"))
 
+    start = F.struct(F.col("rest").alias("gap"), none.alias("take"), F.lit(None).cast("struct<n:bigint,u:bigint>").alias("spare"))
+    # one more where that comes nearer than leaving the gap
+    more = lambda a, x: x.m + F.when((x.u == a.spare.u) & (x.n == a.spare.n) & (x.n < 2 * a.gap), 1).otherwise(0)
+    fits = F.aggregate("units", start, add, lambda a: F.transform(a["take"], lambda x: F.struct(x.u.alias("k"), x.n.alias("n"), x.c.alias("c"), more(a, x).alias("m"))))
+    return shares, lists.select("s", F.explode(fits).alias("x")).select("s", "x.*").where("m > 0")
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, whole_rows: bool = False) -> DataFrame:
-    """Every row with size, source_size, target, taken and shards (one for each time it is taken).
+
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, whole_rows: bool = False, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """Every row with its size, source_size, target, taken and shards (one for each time it is taken), called ``names``.
 
     Without ``whole_rows`` only doc_id and source come along; with it all columns do,
-    other than those five. Null texts have size 0. A null source is a source, the last
-    in order. Equal rows (doc_id, source and text) are taken alike, so a source of which
-    equal rows are a large part comes less near its target. No rows: no rows.
+    other than those of ``names``. Null and wordless texts have size 0 and are never taken.
+    A null source is a source, the last in order. Equal rows (doc_id, source and text)
+    cannot be told apart: of them as many are taken as the edge of their source asks for,
+    whichever they are. A source comes as near its target as its documents fit: within half
+    the least document left over at the edge. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    made = ("size", "source_size", "target", "taken", "shards", "u")
-    keep = [F.col("source").cast("string").alias("source") if c == "source" else F.col(c) for c in docs.columns if c not in made]
-    sized = docs.select(*keep, size_of(F.col("text")).alias("size"), key_of(seed).alias("u"))
-    slim = scratch.save(sized.select("doc_id", "source", "size", "u"), "sizes")
+    size, source_size, target, taken, shard_names = names
+    taken_names = {n.lower() for n in names}
+    keep = [c for c in docs.columns if c.lower() not in taken_names] if whole_rows else ["doc_id", "source"]
+    sized = docs.select(*(F.col(c).cast("string").alias(c) if c.lower() == "source" else F.col(c) for c in keep), *(() if whole_rows else ("text",)), size_of(F.col("text")).alias(size))
+    u, s, by_, pick, rid, rank = fresh([*keep, *names], "u", "s", "by", "pick", "rid", "rank")
+    sized = sized.withColumn(u, key_of(seed))
+    slim = scratch.save(sized.select("doc_id", "source", F.col(size).alias("size"), F.col(u).alias("u")), "sizes")
     shares, picks = plan(slim, shards, seed)
     picks = scratch.save(picks, "edges")
 
-    rows = [(s.source, s.size, s.target, s.times, min(s.cut, (1 << _KEY_BITS) - 1), s.bounds) for s in shares]
-    schema = T.StructType.fromDDL("s string, source_size long, target double, times long, cut long, bounds array<long>")
-    by = docs.sparkSession.createDataFrame(rows, schema)
-    few = len(shares) <= BROADCAST_SOURCES
-    by, picks = (F.broadcast(by), F.broadcast(picks)) if few else (by, picks)
-    all_ = (sized if whole_rows else slim).join(by, _same(F.col("source"), F.col("s"))).drop("s")
-    all_ = all_.join(picks, _same(F.col("source"), F.col("s")) & (F.col("u") == F.col("k")), "left").drop("s")
-    copies = F.col("times") + ((F.col("u") < F.col("cut")) | F.col("k").isNotNull()).cast("long")
-    block = F.shiftright("u", _KEY_BITS - BITS)
-    shard = lambda i: F.size(F.filter("bounds", lambda b: b <= F.shiftleft(i, BITS) + block))
-    times = F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1)).otherwise(F.array().cast("array<bigint>"))
-    names = [c for c in (sized if whole_rows else slim).columns if c != "u" and c not in made]
-    return all_.select(*names, "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.transform(times, shard).alias("shards"))
-
-
-def draw(mixed: DataFrame, seed: int = 0) -> DataFrame:
-    """The rows that ``mix`` with whole rows takes: one for each time, with copy and shard, shuffled inside its shard."""
-    keep = [c for c in mixed.columns if c not in ("copy", "shard")]
-    each = mixed.select(*keep, F.posexplode("shards").alias("copy", "shard"))
+    rows = [(x.source, (x.size, x.target, x.times, x.levels, x.blocks, x.bounds)) for x in shares]
+    plan_type = "size:long,target:double,times:long,levels:array<struct<lo:long,hi:long,bits:int,before:long>>,blocks:long,bounds:array<long>"
+    by = scratch.save(docs.sparkSession.createDataFrame(rows, f"s string, p struct<{plan_type}>"), "shares")
+    by = _small(by, scratch).select(F.col("s").alias(s), F.col("p").alias(by_))
+    all_ = sized if whole_rows else slim.select("doc_id", "source", F.col("size").alias(size), F.col("u").alias(u))
+    all_ = all_.join(by, _same(F.col("source"), F.col(s))).drop(s)
+    x = _small(picks, scratch).select(F.col("s").alias(s), F.struct("k", "n", "c", "m").alias(pick))
+    picked = F.col(pick)
+    all_ = all_.join(x, _same(F.col("source"), F.col(s)) & (F.col(u) == picked.k) & (F.col(size) == picked.n), "left").drop(s)
+    whole = all_.where(picked.isNull() | (picked.m == picked.c)).withColumn(rank, F.lit(0).cast("long"))
+    if not picks.where("m < c").isEmpty():
+        # equal rows of which some are taken: numbered by the tasks that wrote them, each from where the one before ended
+        part = scratch.save(all_.where(picked.m < picked.c).withColumn(rid, F.monotonically_increasing_id()), "equal")
+        task = F.shiftright(rid, 33)
+        counts = part.groupBy("source", u, size, task.alias("t")).agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("source", u, size).orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+        before = scratch.save(counts.select(F.col("source").alias(s), F.col(u).alias("bu"), F.col(size).alias("bn"), "t", F.coalesce(before, F.lit(0)).alias("before")), "before")
+        own = F.row_number().over(Window.partitionBy("source", u, size, task).orderBy(rid)) - 1
+        cols = part.columns
+        numbered = part.withColumn(rank, own.cast("long")).alias("p").join(
+            _small(before, scratch).alias("b"),
+            _same(F.col("p.source"), F.col(f"b.{s}")) & (F.col(f"p.{u}") == F.col("b.bu")) & (F.col(f"p.{size}") == F.col("b.bn")) & (F.shiftright(F.col(f"p.{rid}"), 33) == F.col("b.t")),
+        )
+        numbered = numbered.select(*(F.col(f"p.{c}") for c in cols if c != rid), (F.col(f"p.{rank}") + F.col("b.before")).alias(rank))
+        whole = whole.unionByName(numbered)
+    p, key = F.col(by_), F.col(u)
+    rounds = F.when(p.times > 0, F.transform(F.sequence(F.lit(0).cast("long"), p.times - 1), lambda r: F.shiftleft(r, BITS) + F.shiftright(key, _KEY_BITS - BITS)))
+    level = F.filter(p.levels, lambda v: (v.lo <= key) & (key < v.hi))
+    last = F.transform(level, lambda v: v.before + F.call_function("shiftright", key - v.lo, v.bits))
+    edge = F.when(F.col(rank) < picked.m, F.array(p.blocks - 1))
+    nothing = F.array().cast("array<bigint>")
+    blocks = F.when(F.col(size) > 0, F.concat(*(F.coalesce(b, nothing) for b in (rounds, last, edge)))).otherwise(nothing)
+    drawn = F.transform(blocks, lambda b: F.size(F.filter(p.bounds, lambda end: end <= b)))
+    drawn = F.filter(drawn, lambda k: k < shards)  # blocks that no shard owns are not taken
+    out = whole.select(*(F.col(c) for c in keep), size, p.getField("size").alias(source_size), p.target.alias(target), drawn.alias(shard_names))
+    return out.withColumn(taken, F.col(size) * F.size(shard_names)).select(*keep, *names)
+
+
+def draw(mixed: DataFrame, seed: int = 0, shards: str = "shards") -> DataFrame:
+    """The rows that ``mix`` with whole rows takes: one for each time, with copy and shard, shuffled inside its shard.
+
+    ``shards`` names the column that ``mix`` made. Columns named copy or shard are replaced.
+    """
+    keep = [c for c in mixed.columns if c.lower() not in ("copy", "shard")]
+    (o,) = fresh([*keep, "copy", "shard"], "o")
+    each = mixed.select(*keep, F.posexplode(shards).alias("copy", "shard"))
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "text", "copy")
     # a shard is cut into ranges of its random order, so that none needs one large task
-    return each.withColumn("o", order).repartitionByRange("shard", "o").sortWithinPartitions("shard", "o").drop("o")
+    return each.withColumn(o, order).repartitionByRange("shard", o).sortWithinPartitions("shard", o).drop(o)
 
 
 def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
