@@ -15,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvartal.llm.names import fresh
 from kvartal.scratch import Scratch
 
+NAMES = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 WINDOW = 13
 #: Bytes of a saved table up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_BYTES = 8 << 20
@@ -68,8 +70,8 @@ def _anchors(items: DataFrame, counts: DataFrame, scratch: Scratch, window: int)
     return anchors, named
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, whole_rows: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, whole_rows: bool = False, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (the last five called ``names``) of every row of ``docs``.
 
     With ``whole_rows`` all columns of ``docs`` come along, other than those five.
 
@@ -117,20 +119,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     per = scratch.save(per, "documents")
 
     # the per-document table is small where few are hit; then no row of the corpus moves
-    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    keep = [c for c in docs.columns if c not in made] if whole_rows else ["doc_id"]
-    rows = docs.select(*keep, F.xxhash64("text").alias("_h"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    hit = _maybe_broadcast(per, scratch).withColumnsRenamed({"doc_id": "_d", "h": "_g", "n_hit": "_hit", "ids": "_ids"})
-    out = rows.join(hit, [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("_h") == F.col("_g")], "left")
-    ids = F.coalesce("_ids", F.array().cast("array<string>"))
-    n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
+    n_words, n_hit, n_items, digest, contaminated = names
+    used = {n.lower() for n in names}
+    keep = [c for c in docs.columns if c.lower() not in used] if whole_rows else ["doc_id"]
+    h, d, g, hits_, ids_ = fresh([*keep, *names], "h", "d", "g", "hit", "ids")
+    rows = docs.select(*keep, F.xxhash64("text").alias(h), F.size(words_of(F.col("text"))).cast("long").alias(n_words))
+    hit = _maybe_broadcast(per, scratch).select(F.col("doc_id").alias(d), F.col("h").alias(g), F.col("n_hit").alias(hits_), F.col("ids").alias(ids_))
+    out = rows.join(hit, [F.col("doc_id").eqNullSafe(F.col(d)), F.col(h) == F.col(g)], "left")
+    ids = F.coalesce(F.col(ids_), F.array().cast("array<string>"))
+    n = F.coalesce(F.col(hits_), F.lit(0)).cast("long")
     return out.select(
         *keep,
-        "n_words",
-        n_hit.alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
+        n_words,
+        n.alias(n_hit),
+        F.size(ids).cast("long").alias(n_items),
+        F.sha2(F.array_join(ids, ","), 256).alias(digest),
+        ((n > 0) & (SHARE * n >= F.col(n_words))).alias(contaminated),
     )
 
 

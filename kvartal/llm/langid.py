@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 PROFILE = 400
@@ -108,7 +109,8 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
     some = share.withColumn("r", F.row_number().over(W.Window.partitionBy("lang", "s").orderBy(*order))).where(F.col("r") <= PROFILE)
     top = some.withColumn("r", F.row_number().over(W.Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= PROFILE)
     out: dict[str, list] = {}
-    for r in top.select("lang", "code", "r").collect():
+    # PROFILE rows a language, one partition at a time
+    for r in top.select("lang", "code", "r").toLocalIterator():
         out.setdefault(r.lang, []).append((r.r, r.code))
     return {lang: np.array([c for _, c in sorted(x)], dtype=np.int64).view(np.uint64) for lang, x in sorted(out.items())}
 
@@ -141,35 +143,38 @@ class Scorer:
         return self.langs[best[0]], (d2 - d1) / d2 if d2 else 0.0, 1 - d1 / most
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """Every row of ``docs`` with lang_pred, score and fit instead of columns of those names.
+NAMES = ("lang_pred", "score", "fit")
+
+
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], names: tuple[str, ...] = NAMES) -> DataFrame:
+    """Every row of ``docs`` with its language, score and fit, called ``names``, instead of columns of those names.
 
     A null text and one without a letter are ``und`` with score and fit 0; so is every
-    text if nothing was learned. Only the text is looked at.
+    text if nothing was learned. Only the text is looked at, all of it. Other columns come
+    through, whatever their names. Ties go to the language that comes first by name.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "fit")]
-    rows = docs.select(*keep)
+    used = {n.lower() for n in names}
+    rows = docs.select(*(c for c in docs.columns if c.lower() not in used))
+    at = [c.lower() for c in rows.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(profiles)
         for b in batches:
-            got = [s.of(t.as_py()) for t in b.column("text")]
+            got = [s.of(t.as_py()) for t in b.column(at)]
             cols = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "lang_pred", "score", "fit"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
 
-    schema = T.StructType([*rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    made = zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, *(T.StructField(n, t) for n, t in made)]))
 
 
 #: A text whose fit is lower resembles no learned language: letters, but none of its n-grams.
 LEAST_FIT = 0.2
 
 
-def accepted() -> F.Column:
+def accepted(names: tuple[str, ...] = NAMES) -> F.Column:
     """True for predicted rows that the pipeline keeps."""
-    return (F.col("lang_pred") != "und") & (F.col("fit") >= LEAST_FIT)
+    return (F.col(names[0]) != "und") & (F.col(names[2]) >= LEAST_FIT)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

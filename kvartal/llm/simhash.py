@@ -3,7 +3,9 @@
 Fingerprints within ``MAX_BITS`` differing bits are linked; the result is each
 document's component. Distribution: 64 bits fall into six blocks, and four errors
 leave at least two blocks whole, so every linked pair meets in one of the fifteen
-groups that agree on two blocks (20 to 22 bits). Inside a group a binary trie over
+groups that agree on two blocks (20 to 22 bits). A group of more than MOST fingerprints is
+split by further bits: of five parts of the bits left over, four errors leave one whole.
+Inside a group a binary trie over
 the sorted fingerprints is joined with itself: node pairs descend together, the
 bits that differ add up, and a pair is dropped as soon as they exceed the budget.
 
@@ -16,6 +18,7 @@ neither work nor output follows the square of a group of near copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvartal.llm.components import components
+from kvartal.llm.names import fresh
 from kvartal.llm.unionfind import unite
 from kvartal.scratch import Scratch
 
@@ -35,6 +39,10 @@ SEED = 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Node pairs that one step of the trie walk holds.
 STEP = 1 << 20
+#: Fingerprints of a group that one walk takes; larger groups are split without losing a link.
+MOST = 1 << 18
+#: Bytes of a saved table up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def fingerprint(text: str | None, words_per: int = SHINGLE_WORDS) -> int:
@@ -61,7 +69,7 @@ def fingerprint(text: str | None, words_per: int = SHINGLE_WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
 
 def trie_links(fps: np.ndarray, groups: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -164,27 +172,53 @@ def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work()
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """(fp long) distinct fingerprints -> (a, b) links that span every component."""
-    at, top = [], 64
+def _groups() -> list[int]:
+    """The masks of the fifteen pairs of blocks."""
+    blocks, top = [], 64
     for w in BLOCKS:
-        at.append((top - w, w))
         top -= w
-    fp = F.col("fp")
+        blocks.append(((1 << w) - 1) << top)
+    return [a | b for a, b in combinations(blocks, 2)]
 
-    def block(shift: int, width: int):
-        return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
-    keys = []
-    for k, ((s1, w1), (s2, w2)) in enumerate(combinations(at, 2)):
-        value = F.shiftleft(block(s1, w1), w2).bitwiseOR(block(s2, w2))
-        keys.append(F.lit(k << 22).cast("long").bitwiseOR(value))
-    grouped = fps.select("fp", F.explode(F.array(*keys)).alias("g"))
-    return grouped.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(_group_links, "a long, b long")
+def _finer(mask: int) -> list[int]:
+    """``mask`` with each of MAX_BITS + 1 parts of the bits that it lacks: one of them is free of errors."""
+    free = [b for b in range(63, -1, -1) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in part.tolist()) for part in np.array_split(free, MAX_BITS + 1) if len(part)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def fingerprint_links(fps: DataFrame, scratch: Scratch, most: int = MOST) -> DataFrame:
+    """(fp long) distinct fingerprints -> (a, b) links that span every component.
+
+    A group is a mask and the bits of a fingerprint under it. Fingerprints of a group of
+    more than ``most`` go to the groups of finer masks instead, in which each linked pair
+    meets again, until no group is larger.
+    """
+    masks, rows, done = _groups(), fps.select("fp"), []
+    grouped = rows.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
+    while True:
+        grouped = grouped.withColumn("g", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        large = scratch.save(grouped.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > most).select("g"), "large")
+        if large.isEmpty() or not any(len(_finer(m)) > 1 for m in masks):
+            done.append(grouped.select("g", "fp"))
+            break
+        small = F.broadcast(large) if scratch.size(large) <= BROADCAST_BYTES else large
+        done.append(grouped.join(small, "g", "left_anti").select("g", "fp"))
+        finer = {m: _finer(m) for m in masks}
+        masks = sorted({x for xs in finer.values() for x in xs})
+        table = fps.sparkSession.createDataFrame([(_signed(m), [_signed(x) for x in xs]) for m, xs in finer.items()], "mask long, finer array<long>")
+        over = grouped.join(small, "g", "left_semi").join(F.broadcast(table), "mask").select("fp", F.explode("finer").alias("mask"))
+        grouped = scratch.save(over.distinct(), "finer")
+    all_ = reduce(DataFrame.union, done)
+    return all_.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(_group_links, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, name: str = "simhash") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), fp, component_id of every row of ``docs``.
+    """doc_id, h (hash of the text), fingerprint (16 hex digits), fp, component_id of every row of ``docs``.
 
     ``component_id`` is the least doc_id reachable, itself included. Null and blank
     texts have fingerprint zero and link like any other; a row without doc_id has a
@@ -192,29 +226,28 @@ def simhash_components(docs: DataFrame, name: str = "simhash") -> DataFrame:
     rows each keep their row; other columns of ``docs`` are not looked at.
     """
     scratch = Scratch(docs.sparkSession, name)
-    rows = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    rows = scratch.save(texts.mapInArrow(_fingerprints, "doc_id long, h long, fp long"), "fingerprints")
     fps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    comp = components(fingerprint_links(fps), scratch)
+    comp = components(fingerprint_links(fps, scratch), scratch)
     named = fps.join(comp, fps.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = scratch.save(named, "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = scratch.save(named.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    return rows.join(of, "fp").select("doc_id", "h", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group: those whose doc_id is its least.
 
     Rows that share a doc_id stay or go together. Rows without doc_id go if a document
-    with one is near, and else stay.
+    with one is near; of those near none, each stays. Columns come through, whatever
+    their names. No rows: no rows.
     """
     made = simhash_components(docs, "one-of-each")
-    named = made.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_d")).distinct()
-    kept = docs.join(named, F.col("doc_id") == F.col("_d"), "left_semi")
-    alone = made.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("_f")).distinct()
-    lost = docs.where(F.col("doc_id").isNull())
-    if lost.isEmpty():
-        return kept
-    cols = [F.col(c) for c in docs.columns]
-    fp = F.udf(lambda t: int(np.uint64(fingerprint(t)).view(np.int64)), "long")
-    return kept.unionByName(lost.withColumn("_f", fp("text")).join(alone, "_f", "left_semi").select(*cols))
+    d, h, own = fresh(docs.columns, "d", "h", "own")
+    named = made.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(d)).distinct()
+    kept = docs.join(named, F.col("doc_id") == F.col(d), "left_semi")
+    alone = made.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("h").alias(h)).distinct()
+    lost = docs.where(F.col("doc_id").isNull()).withColumn(own, F.xxhash64("text"))
+    return kept.unionByName(lost.join(alone, F.col(own) == F.col(h), "left_semi").drop(own))

@@ -84,3 +84,20 @@ def test_query_matches_brute_force(spark, sf_dir):
     comp = brute_components([r.doc_id for r in docs], fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries()["op7_simhash"](spark, sf_dir).collect()}
     assert got == {r.doc_id: (f"{f:016x}", comp[r.doc_id]) for r, f in zip(docs, fps)}
+
+
+def test_large_groups_are_split_without_losing_a_link(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    fps = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(150)})
+    want = brute_components(list(range(len(fps))), fps)
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    for most in (5, 40, 10**6):
+        scratch = Scratch(spark, "split")
+        comp = {r.node: r.component for r in components(simhash.fingerprint_links(df, scratch, most), scratch).collect()}
+        groups, mine = {}, {}
+        for i, f in enumerate(fps):
+            s = int(np.uint64(f).view(np.int64))
+            groups.setdefault(comp.get(s, s), []).append(i)
+            mine[i] = comp.get(s, s)
+        assert all(min(groups[mine[i]]) == want[i] for i in range(len(fps))), most
