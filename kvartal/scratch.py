@@ -1,7 +1,7 @@
 """Tables that cut lineage, written to the folder that the whole cluster shares.
 
-``spark.checkpoint.dir`` names that folder. Only where it is unset (tests,
-notebooks) a temporary folder of this machine is used. A table written here
+``spark.checkpoint.dir`` names that folder. Only where it is unset and Spark runs on
+this machine alone (tests, notebooks) a temporary folder of this machine is used. A table written here
 outlives lost executors, and later plans see its true size.
 """
 
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _OWN:
         _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="kvartal-")
     return _OWN[sc.applicationId]
