@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kvartal.scratch import Scratch
 
@@ -40,8 +41,8 @@ LOOSE_PHONE = r"(?<![0-9+] ?)\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
 CONTEXT = 24
 #: A model decides to add a span from this probability on.
 ADD = 0.5
-#: Share of candidates that are personal, before any vote. Kept fixed: votes that agree would otherwise drive it to one.
-PRIOR = 0.3
+#: Share of candidates that are personal at first, and how many made-up candidates hold it there, as a share of all.
+PRIOR, HOLD = 0.3, 0.1
 EM_ROUNDS, NEWTON_ROUNDS = 50, 20
 #: How far a labeler's votes are believed at most, in the order of VOTES: a check digit is arithmetic, a shape is a guess.
 SURE = (0.95, 0.995, 0.95, 0.95)
@@ -52,26 +53,12 @@ _PERSONAL = r"(?i)(token|secret|key|passw|pwd|card|visa|pan|iban|account|acct|ph
 _OTHER = r"(?i)(version|license|licence|isbn|issn|section|page|pages|chapter|figure|table|v)[^A-Za-z0-9]{0,3}$"
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """(length of what precedes, match) of all matches in order, and a last one without match."""
-    return F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"))
-    )
-
-
-def matches(text: Column, pattern: str, may: Column) -> Column:
-    """All leftmost matches that do not overlap, as structs (s, e, m) of code points; none unless ``may``."""
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    end = lambda a, x: a.pos + x.gap + F.length(x.m)
-    found = F.aggregate(
-        _pieces(text, pattern),
-        F.struct(F.lit(0).alias("pos"), empty.alias("out")),
-        lambda a, x: F.when(x.m.isNull(), a).otherwise(
-            F.struct(end(a, x).alias("pos"), F.concat(a.out, F.array(F.struct((a.pos + x.gap).alias("s"), end(a, x).alias("e"), x.m.alias("m")))).alias("out"))
-        ),
-        lambda a: a.out,
-    )
-    return F.when(may, found).otherwise(empty)
+def _pieces(text: Column, pattern: str, source: int, may: Column) -> Column:
+    """All leftmost matches that do not overlap, in order: number i, code points before it, the last of those, the match; none unless ``may``."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.zip_with(between, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT)).alias("tail"), m.alias("m")))
+    rows = F.transform(pieces, lambda x, i: F.struct(F.lit(source).alias("source"), i.alias("i"), x.gap.alias("gap"), x.tail.alias("tail"), x.m.alias("m")))
+    return F.when(may, F.filter(rows, lambda x: x.m.isNotNull())).otherwise(F.array().cast("array<struct<source:int,i:int,gap:int,tail:string,m:string>>"))
 
 
 def _digits(m: Column) -> Column:
@@ -100,33 +87,29 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(kind == "email")
 
 
-def _by_kind(text: Column) -> dict[str, Column]:
-    digit = text.rlike("[0-9]")
-    may = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": F.contains(text, F.lit("+")), "secret": digit}
-    return {k: matches(text, PATTERNS[k], may[k]) for k in KINDS}
-
-
 def spans(docs: DataFrame) -> DataFrame:
     """Candidates of every row: doc_id, h, kind number k, s, e, m, before (the context), base (a valid base span).
 
-    ``h`` is a hash of the text, which tells apart rows that share a doc_id.
+    ``h`` is a hash of the text, which tells apart rows that share a doc_id. Only matches
+    leave their row; where they stand is a running sum over the matches of a pattern, so
+    that a text of very many matches takes no longer a match than others.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), text.alias("text"))
-    kinds = _by_kind(F.col("text"))
-    loose = matches(F.col("text"), LOOSE_PHONE, F.col("text").contains("("))
-    context = lambda s: F.substring(F.col("text"), F.greatest(s - CONTEXT, F.lit(0)) + 1, F.least(s, F.lit(CONTEXT)))
-
-    def cast(kind: str, found: Column, base: bool) -> Column:
-        ok = (lambda m: valid(kind, m)) if base else (lambda m: F.lit(False))
-        return F.transform(found, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x.s.alias("s"), x.e.alias("e"), x.m.alias("m"), ok(x.m).alias("base"), context(x.s).alias("before")))
-
-    # digits need at least six to be a candidate: years and small numbers are none
-    worth = lambda x: x.base | (F.length(_digits(x.m)) >= 6)
-    worth_secret = lambda x: x.m.rlike("[A-Za-z]") & (F.length(_digits(x.m)) >= 6)
-    both = F.concat(*(F.filter(cast(k, kinds[k], k != "secret"), worth_secret if k == "secret" else worth) for k in KINDS), cast("phone", loose, False))
+    text = F.col("text")
+    digit = text.rlike("[0-9]")
+    may = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": F.contains(text, F.lit("+")), "secret": digit}
+    found = [_pieces(text, PATTERNS[k], i, may[k]) for i, k in enumerate(KINDS)] + [_pieces(text, LOOSE_PHONE, len(KINDS), F.contains(text, F.lit("(")))]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     # outer: an inner explode is given a filter on its array, which would search every text twice
-    return rows.select("doc_id", "h", F.explode_outer(both).alias("c")).where(F.col("c").isNotNull()).select("doc_id", "h", "c.*")
+    each = rows.select("doc_id", "h", "row", F.explode_outer(F.concat(*found)).alias("x")).where(F.col("x").isNotNull()).select("doc_id", "h", "row", "x.*")
+    order = Window.partitionBy("row", "source").orderBy("i")
+    end = F.sum(F.col("gap") + F.length("m")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    before = F.right(F.concat(F.coalesce(F.lag("m").over(order), F.lit("")), "tail"), F.lit(CONTEXT))
+    placed = each.select("doc_id", "h", "source", "m", before.alias("before"), (end - F.length("m")).alias("s"), end.alias("e"))
+    base = F.lit(False)
+    for i, k in enumerate(KINDS[:4]):
+        base = F.when(F.col("source") == i, valid(k, F.col("m"))).otherwise(base)
+    kind = F.when(F.col("source") == len(KINDS), KINDS.index("phone")).otherwise(F.col("source"))
+    return placed.select("doc_id", "h", kind.alias("k"), "s", "e", "m", "before", base.alias("base"))
 
 
 def votes(cands: DataFrame) -> DataFrame:
@@ -196,6 +179,7 @@ def fit(patterns: list[tuple], names: tuple[str, ...] = (*VOTES, *FEATURES)) ->
         yes = np.log(prior) + (said * np.where(vote == 1, np.log(hit), np.log(1 - hit))).sum(axis=1)
         no = np.log(1 - prior) + (said * np.where(vote == 1, np.log(miss), np.log(1 - miss))).sum(axis=1)
         p = 1 / (1 + np.exp(np.clip(no - yes, -50, 50)))
+        prior = ((count * p).sum() + PRIOR * HOLD * count.sum()) / ((1 + HOLD) * count.sum())
         w1, w0 = (count * p)[:, None] * said, (count * (1 - p))[:, None] * said
         # a few made-up votes keep labelers that seldom speak near their first rates
         hit = np.clip(((w1 * (vote == 1)).sum(axis=0) + 8) / (w1.sum(axis=0) + 10), 0.5, SURE)
@@ -216,6 +200,21 @@ def fit(patterns: list[tuple], names: tuple[str, ...] = (*VOTES, *FEATURES)) ->
     return Model(dict(zip(VOTES, zip(hit.tolist(), miss.tolist()))), float(b), dict(zip(keys, w.tolist())))
 
 
+def _gives_way() -> Column:
+    """An added span gives way to base spans and to added ones of an earlier kind that it overlaps, by one pass from either end."""
+    up = Window.partitionBy("doc_id", "h").orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("doc_id", "h").orderBy(F.col("s").desc()).rangeBetween(Window.unboundedPreceding, 0)
+
+    def meets(other: Column) -> Column:
+        # of those that start no later the furthest end, of those that start no earlier the first start
+        return F.coalesce(F.max(F.when(other, F.col("e"))).over(up) > F.col("s"), F.lit(False)) | F.coalesce(F.min(F.when(other, F.col("s"))).over(down) < F.col("e"), F.lit(False))
+
+    out = meets(F.col("base"))
+    for i in range(len(KINDS) - 1):
+        out = out | ((F.col("k") > i) & meets(~F.col("base") & (F.col("k") == i)))
+    return ~F.col("base") & out
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret of every row of ``docs``.
 
@@ -228,14 +227,9 @@ def find(docs: DataFrame) -> DataFrame:
     model = fit(sorted(tuple(r) for r in table))
     key = ["doc_id", "h"]
     told = cands.select(*key, "k", "s", "e", "base", (F.col("base") | (model.score() >= ADD)).alias("on")).where("on")
-    # an added span gives way to base spans and to added ones of an earlier kind that it overlaps
     struct = F.struct("k", "s", "e")
-    per = told.groupBy(*key).agg(
-        F.array_sort(F.collect_set(F.when(F.col("base"), struct))).alias("base"), F.array_sort(F.collect_set(F.when(~F.col("base"), struct))).alias("more")
-    )
-    free = F.aggregate("more", F.col("base"), lambda a, x: F.when(F.exists(a, lambda y: (y.s < x.e) & (x.s < y.e)), a).otherwise(F.concat(a, F.array(x))))
-    per = per.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "base", F.array_sort(free).alias("all"))
-    per = scratch.save(per, "documents")
+    per = told.withColumn("off", _gives_way()).where("not off").groupBy(*key).agg(F.array_sort(F.collect_set(F.when(F.col("base"), struct))).alias("base"), F.array_sort(F.collect_set(struct)).alias("all"))
+    per = scratch.save(per.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "base", "all"), "documents")
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"))
     out = rows.join(per, [F.col("doc_id").eqNullSafe(F.col("d")), F.col("h") == F.col("g")], "left")
