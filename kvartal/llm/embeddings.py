@@ -1,8 +1,10 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Vectors of one label (and length) are turned onto their principal axes, ordered along the
-first one and cut into tiles of bounded size. Two unit vectors of cosine t differ by at
-most sqrt(2 - 2t) along any axis, so tile pairs further apart than that are never formed.
+Vectors are turned onto the principal axes of all vectors of their length, ordered within
+their label along the first one, and cut into blocks of bounded bytes and those into tiles.
+Two unit vectors of cosine t are at most sqrt(2 - 2t) apart, so pairs of blocks and of tiles
+whose ranges along the leading axes are further apart are never formed. A block is sent
+once to each block that it is near.
 Inside a pair of tiles products are summed over the leading axes first; what the rest can
 add is at most the product of the two vectors' remaining norms, and pairs that cannot
 reach the threshold any more are left. Survivors get their cosine from the vectors as given.
@@ -26,8 +28,14 @@ from kvartal.llm.unionfind import unite
 from kvartal.scratch import Scratch
 
 THRESHOLD = 0.93
-#: Classes in a tile; a task holds two tiles and a product matrix of their sizes.
+#: Classes in a tile, the rows of a product matrix.
 TILE = 512
+#: Bytes of vectors in a block; a task holds two, and goes through the pairs of their tiles.
+BLOCK_BYTES = 8 << 20
+#: Axes whose ranges tell which blocks and tiles are near.
+LEADING = 4
+#: Longer vectors are compared on the axes as given: theirs would not fit the driver.
+WIDEST = 4096
 #: The axes are fitted on the SAMPLE classes with the least keys: any axes give the same links.
 SAMPLE = 4096
 #: Axes summed before each look at the bounds.
@@ -48,30 +56,36 @@ def axes_of(x: np.ndarray) -> np.ndarray:
     return vec * np.where(vec[np.abs(vec).argmax(axis=0), np.arange(vec.shape[1])] < 0, -1, 1)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+def turned(x: np.ndarray, axes: np.ndarray | None) -> np.ndarray:
+    """Unit rows on the axes, or as they are without any."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    return u if axes is None else u @ axes
+
+
+def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i, j) of rows of a and b whose cosine is at least ``threshold``."""
-    ua, ub = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
-    pa_, pb = ua @ axes, ub @ axes
-    cuts = [c for c in STEPS if c < a.shape[1]]
+    return _tile_links(a, b, turned(a, axes), turned(b, axes), threshold)
+
+
+def _tile_links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     left, sums, at = None, None, 0
-    for cut in cuts:
+    for cut in (*(c for c in STEPS if c < a.shape[1]), a.shape[1]):
         more = slice(at, cut)
         if left is None:
-            dense = pa_[:, more] @ pb[:, more].T if sums is None else sums + pa_[:, more] @ pb[:, more].T
+            dense = pa_[:, more] @ pb[:, more].T
+            sums = dense if sums is None else sums + dense
             ra, rb = (np.linalg.norm(p[:, cut:], axis=1) for p in (pa_, pb))
-            ok = dense + np.outer(ra, rb) >= threshold - _SLACK
-            if ok.mean() < 0.2:
+            ok = sums + np.outer(ra, rb) >= threshold - _SLACK
+            if cut == a.shape[1] or ok.mean() < 0.2:
                 left = np.nonzero(ok)
-                sums = dense[left]
-            else:
-                sums = dense
+                sums = sums[left]
         else:
             i, j = left
             sums = sums + np.einsum("ij,ij->i", pa_[i, more], pb[j, more])
             ok = sums + np.linalg.norm(pa_[:, cut:], axis=1)[i] * np.linalg.norm(pb[:, cut:], axis=1)[j] >= threshold - _SLACK
             left, sums = (i[ok], j[ok]), sums[ok]
         at = cut
-    i, j = left if left is not None else np.nonzero(ua @ ub.T >= threshold - _SLACK)
+    i, j = left
     keep = np.zeros(len(i), dtype=bool)
     for s in range(0, len(i), 1 << 16):
         x, y = a[i[s : s + (1 << 16)]], b[j[s : s + (1 << 16)]]
@@ -80,6 +94,35 @@ def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float
     return i[keep], j[keep]
 
 
+def block_links(a: np.ndarray, b: np.ndarray | None, axes: np.ndarray | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the rows of two blocks, or of one (i < j) if ``b`` is None, tile by tile along the first axis."""
+    own = b is None
+    sides = []
+    for x in (a,) if own else (a, b):
+        p = turned(x, axes)
+        order = np.argsort(p[:, 0], kind="stable")
+        tiles = [order[s : s + TILE] for s in range(0, len(order), TILE)]
+        sides.append((x, p, tiles, [(p[t, :LEADING].min(axis=0), p[t, :LEADING].max(axis=0)) for t in tiles]))
+    (a, pa_, ta, box_a), (b, pb, tb, box_b) = sides[0], sides[-1]
+    reach = 2 - 2 * threshold + _SLACK
+    out = [(np.zeros(0, dtype=np.int64),) * 2]
+    for m, (ia, (lo1, hi1)) in enumerate(zip(ta, box_a)):
+        for k in range(m if own else 0, len(tb)):
+            lo2, hi2 = box_b[k]
+            gap = np.maximum(0, np.maximum(lo2 - hi1, lo1 - hi2))
+            if own and lo2[0] - hi1[0] > reach**0.5:
+                break  # tiles further on start further on
+            if (gap * gap).sum() > reach:
+                continue
+            ib = tb[k]
+            i, j = _tile_links(a[ia], b[ib], pa_[ia], pb[ib], threshold)
+            i, j = ia[i], ib[j]
+            if own and k == m:
+                i, j = i[i < j], j[i < j]
+            out.append((i, j))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
 def _vectors(col: pa.Array) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(col), -1)
@@ -97,10 +140,8 @@ def _compare(threshold: float, axes: dict[int, np.ndarray]):
         if not len(ia) or not len(ib):
             i = j = np.zeros(0, dtype=np.int64)
         else:
-            i, j = tile_links(x[ia], x[ib], axes[x.shape[1]], threshold)
+            i, j = block_links(x[ia], None if own else x[ib], axes.get(x.shape[1]), threshold)
             i, j = ia[i], ib[j]
-            if own:
-                i, j = i[i < j], j[i < j]
         links = np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
         order = np.argsort(cid, kind="stable")
         place = np.argsort(order, kind="stable")
@@ -129,34 +170,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes = scratch.save(classes, "classes")
 
     axes = {}
-    sample = classes.orderBy("k1", "k2").limit(SAMPLE).select("v").collect()
-    for d in classes.select(F.size("v").alias("d")).distinct().collect():
-        x = np.array([r.v for r in sample if len(r.v) == d.d], dtype=np.float64).reshape(-1, d.d)
-        x = x / np.linalg.norm(x, axis=1)[:, None] if len(x) else np.eye(d.d)
-        axes[d.d] = axes_of(x)
+    sample = classes.where(F.size("v") <= WIDEST).orderBy("k1", "k2").limit(SAMPLE).select("v").collect()
+    for d in {len(r.v) for r in sample}:
+        x = np.array([r.v for r in sample if len(r.v) == d], dtype=np.float64)
+        axes[d] = axes_of(x / np.linalg.norm(x, axis=1)[:, None])
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = np.zeros(b.num_rows)
+            lead = np.zeros((b.num_rows, LEADING))
             lists = b.column("v")
             size = lists.value_lengths().to_numpy()
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                x = _vectors(lists.take(pa.array(at)))
-                first[at] = (x @ axes[int(d)][:, 0]) / np.linalg.norm(x, axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first), pa.array(size.astype(np.int32))], names=[*b.schema.names, "x", "d"])
-
-    schema = T.StructType([*classes.schema, T.StructField("x", T.DoubleType()), T.StructField("d", T.IntegerType())])
-    total = classes.count()
-    # a range partition of the order is a tile: some TILE classes each, whatever the labels' sizes
-    placed = classes.mapInArrow(project, schema).repartitionByRange(max(1, -(-total // TILE)), "label", "d", "x", "k1")
+                lead[at, : min(d, LEADING)] = turned(_vectors(lists.take(pa.array(at))), axes.get(int(d)))[:, :LEADING]
+            cols = [pa.array(lead[:, k]) for k in range(LEADING)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols, pa.array(size.astype(np.int32))], names=[*b.schema.names, *leads, "d"])
+
+    leads = [f"x{k}" for k in range(LEADING)]
+    schema = T.StructType([*classes.schema, *(T.StructField(c, T.DoubleType()) for c in leads), T.StructField("d", T.IntegerType())])
+    total = classes.agg(F.sum(8.0 * F.size("v"))).first()[0] or 0
+    # a range partition of the order is a block of bounded bytes, whatever the labels' sizes
+    placed = classes.mapInArrow(project, schema).repartitionByRange(max(1, int(-(-total // BLOCK_BYTES))), "label", "d", "x0", "k1")
     cid = F.xxhash64("k1", "k2", "label")
-    tiled = scratch.save(placed.select("label", "k1", "k2", cid.alias("cid"), "n", "v", "x", "d", F.spark_partition_id().alias("tile")), "tiles")
-    reach = (2 - 2 * threshold) ** 0.5 + _SLACK
-    spans = scratch.save(tiled.groupBy("label", "d", "tile").agg(F.min("x").alias("lo"), F.max("x").alias("hi")), "spans")
-    other = spans.select(F.col("label").alias("l2"), F.col("d").alias("d2"), F.col("tile").alias("t2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = spans.join(other, (F.col("label") == F.col("l2")) & (F.col("d") == F.col("d2")) & (F.col("tile") <= F.col("t2")))
-    pairs = pairs.where((F.col("lo2") <= F.col("hi") + reach) & (F.col("lo") <= F.col("hi2") + reach)).select("label", "d", F.col("tile").alias("t1"), "t2")
+    tiled = scratch.save(placed.select("label", "k1", "k2", cid.alias("cid"), "n", "v", *leads, "d", F.spark_partition_id().alias("tile")), "tiles")
+    ends_of = [f(c).alias(f"{name}_{c}") for c in leads for name, f in (("lo", F.min), ("hi", F.max))]
+    spans = scratch.save(tiled.groupBy("label", "d", "tile").agg(*ends_of), "spans")
+    one, two = spans.alias("a"), spans.alias("b")
+    pairs = one.join(two, (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.tile") <= F.col("b.tile")))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"b.lo_{c}") - F.col(f"a.hi_{c}"), F.col(f"a.lo_{c}") - F.col(f"b.hi_{c}"))
+    near = sum((gap(c) * gap(c) for c in leads), F.lit(0.0)) <= 2 - 2 * threshold + _SLACK
+    pairs = pairs.where(near).select("a.label", "a.d", F.col("a.tile").alias("t1"), F.col("b.tile").alias("t2"))
     ends = F.when(F.col("t1") == F.col("t2"), F.array("t1")).otherwise(F.array("t1", "t2"))
     wanted = scratch.save(pairs.select("label", "d", "t1", "t2", F.explode(ends).alias("tile")), "pairs")
     both = tiled.select("label", "d", "tile", "cid", "n", "v").join(wanted, ["label", "d", "tile"])

@@ -1,29 +1,31 @@
 """Main text of web pages by the template of their host.
 
-After Arasu and Garcia-Molina, "Extracting Structured Data from Web Pages" (2003): what the
-pages of a host have in common is its template, what differs fills its slots. Their nested
-classes of equal occurrence vectors are not built; the container of the main slot is found
-by names, density and repetition.
-
-An element is told by its path with classes and ids, and counted by its opening tags. The
-container is first the innermost structural element that no page of the host has twice and
-that holds most of the text outside menus, headers, footers and the like. It then grows to
-the innermost element around all text of its pages that the template does not repeat. An
-``article`` or ``main`` around it stands for the whole. Blocks inside it that every one of
-its pages has in the same words at the same path are template and go, unless they are most
-of what it holds: then the pages are copies of each other. Pages without that container, and
-hosts with too few pages to deduce one, fall back on ``article`` and ``main``, then on the
-body.
+After Arasu and Garcia-Molina, "Extracting Structured Data from Web Pages" (2003). Tokens of
+a page are its elements (told by their path with classes and ids, counted by opening tags)
+and its blocks of text (told by their element and words). Tokens of a host that
+occur equally often on each of its pages share an occurrence vector and are one class. A
+class of enough pages is valid; it nests in the class of the element around its own. Text
+in the class of an element around it comes wherever that element does: it is template. All
+other text fills the slots between.
+
+The main slot is the innermost element that no page has twice and that holds most of the
+text in slots, grown to the innermost element around all slots of its pages, or to the
+``article`` or ``main`` around it. Vectors do not tell an article from what else changes from
+page to page (menus, adverts, comments), so elements whose tag, role or class says that they
+are such are set aside first. Copies of one page have all text in common: if most of the
+main slot is template, its text is kept. What the slot was found by is in the result: a
+host with too few different pages, and a page without its host's slot, fall back on
+``article``, ``main`` and the page.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,9 @@ LEAST_PAGES, LEAST_SHARE = 3, 0.5
 MAIN_SHARE = 0.5
 #: Elements that hold other blocks. Paragraphs, headings, lists and tables are parts of a slot.
 _HOLDERS = frozenset("article main section div body td center details figure blockquote".split())
-_HEADING = re.compile(r"/h[1-6](?:[.#][^/]*)?$")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A main slot is looked for so many elements deep; text further in belongs to the last of them.
+DEPTH = 64
 #: Bytes of the table of containers up to which it is broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -77,212 +81,273 @@ def _aside(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
     return bool(_NAMES.search(_TITLES.sub(" ", named)))
 
 
-def blocks(page: str, opened: dict[str, int] | None = None) -> list[tuple[str, str, bool]]:
-    """(path, text, set aside) of the page's blocks of text in order; references decoded, white space single.
+class Page:
+    """Elements of a page in order (the page itself is the first) and its blocks of text, in time linear in its length.
 
-    ``opened`` is given the number of opening tags of every path that is not set aside.
+    Of each element: parent, tag, depth, path (a hash of all labels from the outside in), is
+    it set aside, and the path of the outermost article or main around it, or 0. Blocks are
+    (element, text): references decoded, white space single.
     """
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, aside
-    text: list[str] = []
 
-    def flush() -> None:
-        t = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
-        text.clear()
+    def __init__(self, page: str):
+        self.parent, self.tag, self.depth, self.path, self.aside, self.whole = [0], [""], [0], [0], [False], [0]
+        self.blocks: list[tuple[int, str]] = []
+        self._stack: list[tuple[str, int, bool]] = []  # tag, innermost element, set aside
+        self._open: dict[str, list[int]] = {}  # places in the stack by tag
+        self._text: list[str] = []
+        self._read(page)
+
+    def _flush(self) -> None:
+        t = _SPACE.sub(" ", _html.unescape("".join(self._text))).strip()
+        self._text.clear()
         if t:
-            out.append((stack[-1][1] if stack else "", t, stack[-1][2] if stack else False))
-
-    def close(upto: int) -> None:
-        if any(t not in _INLINE for t, _, _ in stack[upto:]):
-            flush()
-        del stack[upto:]
-
-    def find(names: tuple[str, ...] | frozenset, stop: tuple[str, ...] = ()) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in stop:
-                break
-        return -1
-
-    at, n = 0, len(page)
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        text.append(page[at : m.start()])
-        at = m.end()
-        if not m.group(2):
-            continue
-        tag, closing = m.group(2).lower(), m.group(1)
-        if tag == "br":
-            text.append(" ")
-            continue
-        if closing:
-            i = find((tag,))
-            if i >= 0:
-                close(i)
-            elif tag not in _INLINE:
-                flush()
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n if m.group(3)[-1:] != "/" else at
-            continue
+            at, off = (self._stack[-1][1], self._stack[-1][2]) if self._stack else (0, False)
+            if not off:
+                self.blocks.append((at, t))
+
+    def _close(self, upto: int) -> None:
+        if any(t not in _INLINE for t, _, _ in self._stack[upto:]):
+            self._flush()
+        for t, _, _ in self._stack[upto:]:
+            self._open[t].pop()
+        del self._stack[upto:]
+
+    def _find(self, names, stop=()) -> int:
+        last = max((self._open[n][-1] for n in names if self._open.get(n)), default=-1)
+        return -1 if any(self._open.get(n) and self._open[n][-1] > last for n in stop) else last
+
+    def _enter(self, tag: str, written: str) -> None:
+        attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(written)}
+        up, off = (self._stack[-1][1], self._stack[-1][2]) if self._stack else (0, False)
+        off = off or _aside(tag, attrs, bool(self._open.get("article") or self._open.get("main")))
+        at = up
         if tag not in _INLINE:
-            # a block inside unclosed inline elements ends them with the paragraph that holds them
-            i = find(("p",), ("table", "td", "th", "button", "div", "section", "article", "body")) if tag in _ENDS_P else -1
-            if i < 0 and tag in _CLOSES:
-                i = find(_CLOSES[tag], ("ul", "ol", "dl", "table"))
-            close(i) if i >= 0 else flush()
-        if tag in _VOID:
-            continue
-        attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(m.group(3))}
-        up = stack[-1] if stack else ("", "", False)
-        aside = up[2] or _aside(tag, attrs, find(("article", "main")) >= 0)
-        label = tag + "".join("." + c for c in attrs.get("class", "").lower().split()) + ("#" + attrs["id"].lower() if attrs.get("id") else "")
-        label = label.replace("/", "|")
-        path = up[1] if tag in _INLINE else f"{up[1]}/{label}"
-        if opened is not None and not aside and tag not in _INLINE:
-            opened[path] = opened.get(path, 0) + 1
-        stack.append((tag, path, aside))
-    text.append(page[at:])
-    stack_end = len(stack)
-    flush()
-    del stack[:stack_end]
-    return out
-
-
-def _steps(path: str) -> list[str]:
-    """The path of each element on the way to the innermost."""
-    at = [i for i, c in enumerate(path) if c == "/"][1:] + [len(path)]
-    return [path[:i] for i in at] if path else []
-
-
-def _is(path: str, name: str) -> bool:
-    last = path.rpartition("/")[2]
-    return re.split(r"[.#]", last, maxsplit=1)[0] == name
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def extract(page: str | None, container: str | None = None, template: frozenset[int] = frozenset()) -> str:
-    """The main text: blocks inside the container that are not set aside or of the template, one a line."""
-    found = [b for b in blocks(page or "") if not b[2] and (not template or _hash(f"{b[0]}\n{b[1]}") not in template)]
-    for test in (
-        lambda p: container is not None and (p == container or p.startswith(container + "/")),
-        lambda p: any(_is(s, "article") for s in _steps(p)),
-        lambda p: any(_is(s, "main") for s in _steps(p)),
-    ):
-        inside = [t for p, t, _ in found if test(p)]
-        if inside:
-            return "\n".join(inside)
-    return "\n".join(t for _, t, _ in found)
-
-
-def host_of(url: str | None) -> str:
-    """The host of an address without user and port, in lower case; empty if there is none."""
-    m = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m.group(1).lower() if m else ""
+            label = tag + "".join("." + c for c in attrs.get("class", "").lower().split()) + ("#" + attrs["id"].lower() if attrs.get("id") else "")
+            at = len(self.path)
+            self.parent.append(up), self.tag.append(tag), self.depth.append(self.depth[up] + 1), self.aside.append(off)
+            self.path.append(xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), self.path[up]) >> 1 or 1)
+            self.whole.append(self.whole[up] or (self.path[-1] if tag in ("article", "main") else 0))
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, at, off))
+
+    def _read(self, page: str) -> None:
+        at, n = 0, len(page)
+        for m in _TAG.finditer(page):
+            if m.start() < at:
+                continue
+            self._text.append(page[at : m.start()])
+            at = m.end()
+            if not m.group(2):
+                continue
+            tag, closing = m.group(2).lower(), m.group(1)
+            if tag == "br":
+                self._text.append(" ")
+                continue
+            if closing:
+                i = self._find((tag,))
+                if i >= 0:
+                    self._close(i)
+                elif tag not in _INLINE:
+                    self._flush()
+                continue
+            if tag in _RAW:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else n if m.group(3)[-1:] != "/" else at
+                continue
+            if tag not in _INLINE:
+                # a block inside unclosed inline elements ends them with the paragraph that holds them
+                i = self._find(("p",), ("table", "td", "th", "button", "div", "section", "article", "body")) if tag in _ENDS_P else -1
+                if i < 0 and tag in _CLOSES:
+                    i = self._find(_CLOSES[tag], ("ul", "ol", "dl", "table"))
+                self._close(i) if i >= 0 else self._flush()
+            if tag not in _VOID:
+                self._enter(tag, m.group(3))
+        self._text.append(page[at:])
+        self._flush()
+
+    def within(self, true: Callable[[int], bool]) -> list[bool]:
+        """For each element, is it or one around it such?"""
+        out: list[bool] = []
+        for i, up in enumerate(self.parent):
+            out.append(true(i) or i > 0 and out[up])
+        return out
+
+    def token(self, at: int, text: str) -> int:
+        """A block as a token: its element and words."""
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.path[self.top[at]]) >> 1
+
+    def like(self, at: int, text: str) -> int:
+        """The same with all numbers alike: they differ in what a template says, but a heading is a title."""
+        return self.token(at, text if self.tag[at] in _HEADINGS else re.sub(r"\d+", "0", text))
+
+    @property
+    def top(self) -> list[int]:
+        """For each element, itself or the innermost around it that is no deeper than DEPTH."""
+        if not hasattr(self, "_top"):
+            self._top: list[int] = []
+            for i, up in enumerate(self.parent):
+                self._top.append(i if self.depth[i] <= DEPTH else self._top[up])
+        return self._top
+
+
+def blocks(page: str) -> list[str]:
+    """The blocks of a page that are not set aside, in order."""
+    return [t for _, t in Page(page).blocks]
+
+
+def extract(page: str | None, container: int | None = None, template: frozenset[int] = frozenset()) -> tuple[str, str]:
+    """The main text (blocks of the main slot that are not of the template, one a line), and what the slot was found by."""
+    p = Page(page or "")
+    found = [(at, t) for at, t in p.blocks if not template or p.token(at, t) not in template]
+    tests = [("article", lambda i: p.tag[i] == "article"), ("main", lambda i: p.tag[i] == "main")]
+    if container is not None:
+        tests.insert(0, ("template", lambda i: p.path[i] == container))
+    for by, test in tests:
+        inside = p.within(test)
+        if got := [t for at, t in found if inside[at]]:
+            return "\n".join(got), by
+    return "\n".join(t for _, t in found), "page"
+
+
+_EACH = "host long, key long, path long, said long, like long, times long, chars long, chain array<long>, tag string, whole long"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page: elements with their opening tags and characters of text inside (no hash), and blocks of text."""
+    """Tokens of each page with their occurrences and characters: elements (said is null) with the paths from the outside in, and blocks of text."""
     for b in batches:
-        hosts, keys, paths, times, chars, texts, exact = [], [], [], [], [], [], []
-        for url, key, page in zip(b.column("url").to_pylist(), b.column("key").to_pylist(), b.column("html")):
-            host, opened, size, said = host_of(url), {}, {}, {}
-            for path, t, aside in blocks(page.as_py() or "", opened):
-                if aside:
-                    continue
-                for s in _steps(path):
-                    size[s] = size.get(s, 0) + len(t)
-                # fields with digits differ from page to page in what the template says, but a heading is a title
-                skeleton = t if _HEADING.search(path) else re.sub(r"\d+", "0", t)
-                at = path, _hash(skeleton), _hash(f"{path}\n{t}")
-                said[at] = said.get(at, 0) + len(t)
-            for s, k in opened.items():
-                paths.append(s), times.append(k), chars.append(size.get(s, 0)), texts.append(None), exact.append(None)
-            met = set()
-            for (s, h, e), k in said.items():
-                paths.append(s), times.append(int((s, h) not in met)), met.add((s, h)), chars.append(k), texts.append(h), exact.append(e)
-            hosts += [host] * (len(paths) - len(hosts))
-            keys += [key] * (len(paths) - len(keys))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(times, pa.int64()), pa.array(chars, pa.int64()), pa.array(texts, pa.int64()), pa.array(exact, pa.int64())],
-            names=["host", "key", "path", "times", "chars", "said", "exact"],
-        )
+        rows: list[tuple] = []
+        for host, key, html in zip(b.column("host").to_pylist(), b.column("key").to_pylist(), b.column("html")):
+            p = Page(html.as_py() or "")
+            chars = [0] * len(p.path)
+            said: dict[tuple[int, int], list[int]] = {}
+            for at, t in p.blocks:
+                chars[at] += len(t)
+                x = said.setdefault((p.path[p.top[at]], p.token(at, t), p.like(at, t)), [0, 0])
+                x[0] += 1
+                x[1] += len(t)
+            for i in range(len(chars) - 1, 0, -1):
+                chars[p.parent[i]] += chars[i]
+            chains: list[list[int]] = []
+            met: dict[int, list] = {}
+            for i, path in enumerate(p.path):
+                chains.append([*chains[p.parent[i]], path] if 0 < p.depth[i] <= DEPTH else [])
+                if p.depth[i] <= DEPTH and not p.aside[i]:
+                    x = met.setdefault(path, [0, 0, chains[i], p.tag[i], p.whole[i]])
+                    x[0] += 1
+                    x[1] += chars[i]
+            rows += [(host, key, path, None, None, *x) for path, x in met.items()]
+            rows += [(host, key, *of, *x, None, None, None) for of, x in said.items()]
+            if len(rows) > 1 << 16:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["host", "key", "path", "said", "like", "times", "chars", "chain", "tag", "whole"]
+    kinds = [pa.int64()] * 7 + [pa.list_(pa.int64()), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
 def _small(df: DataFrame, scratch: Scratch) -> DataFrame:
     return F.broadcast(df) if scratch.size(df) <= BROADCAST_BYTES else df
 
 
-def _inside(path: str, container: str) -> Column:
-    return (F.col(path) == F.col(container)) | F.col(path).startswith(F.concat(container, F.lit("/")))
+def _vector() -> list[Column]:
+    """Pages, most occurrences on one, characters, and what tells an occurrence vector: two sums of hashes of (page, occurrences) and the number of pages."""
+    h = F.xxhash64("key", "times")
+    sig = F.struct(F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("s"), F.count("*").alias("n"))
+    return [sig.alias("vector"), F.max("times").alias("most"), F.sum("chars").alias("chars")]
+
+
+def classes(elements: DataFrame) -> DataFrame:
+    """The template of each host: (host, vector, around, size, pages) of its classes of elements, each with the class that it nests in.
+
+    Only a class of one element around another's is looked at; the outermost have none.
+    """
+    inner = elements.select("host", "vector", F.when(F.size("chain") > 1, F.element_at("chain", -2)).alias("up"))
+    outer = elements.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("vector").alias("around"))
+    nested = inner.join(outer, (F.col("host") == F.col("h")) & (F.col("up") == F.col("p")), "left").select("host", "vector", F.when(F.col("around") != F.col("vector"), F.col("around")).alias("around"))
+    return nested.groupBy("host", "vector").agg(F.max("around").alias("around"), F.count("*").alias("size")).withColumn("pages", F.col("vector.n"))
 
 
-def containers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, container, template): the innermost element that holds a host's main slot, null if that is the page, and the hashes of the blocks in it that all its pages repeat."""
-    each = pages.select("url", F.xxhash64("html").alias("key"), "html").mapInArrow(_occurrences, "host string, key long, path string, times long, chars long, said long, exact long")
+def slots(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, container, template): the path of a host's main slot, null if that is the page, and the blocks in it that are template."""
+    host = F.xxhash64(_host(F.col("url")))
+    each = pages.select(host.alias("host"), F.xxhash64("html").alias("key"), "html").mapInArrow(_occurrences, _EACH)
     each = scratch.save(each, "occurrences")
-    elements, texts = each.where("said IS NULL"), each.where("said IS NOT NULL")
-    tags = elements.groupBy("host", "path").agg(F.count("*").alias("pages"), F.max("times").alias("most"), F.sum("chars").alias("chars"))
-    tags = scratch.save(tags, "tags")
-    all_ = tags.groupBy("host").agg(F.max("pages").alias("all"), F.max("chars").alias("text"))
-    last = F.element_at(F.split("path", "/"), -1)
-    holder = F.regexp_extract(last, r"^([^.#]*)", 1).isin(*sorted(_HOLDERS))
-    template = tags.join(all_, "host").where((F.col("all") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all")) & (F.col("most") == 1) & holder & (F.col("chars") >= MAIN_SHARE * F.col("text")))
-    depth = F.length(F.regexp_replace("path", "[^/]", ""))
-    best = template.groupBy("host").agg(F.max_by(F.struct("path", "pages"), F.struct(depth, "chars", "path")).alias("b")).select("host", F.col("b.path").alias("container"), F.col("b.pages").alias("of"))
-    # an element inside an article or main stands for the whole of it
-    whole = F.regexp_extract("container", r"^(.*?/(?:article|main)(?:[.#][^/]*)?)(?:/|$)", 1)
-    best = scratch.save(best.withColumn("whole", whole), "innermost")
-
-    # what else the pages with that element say, other than what most of them say
-    open_ = _small(best, scratch).where("whole = ''")
-    has = elements.join(open_, "host").where("path = container").select("host", "key")
-    outside = texts.join(open_, "host").where(~_inside("path", "container")).join(has, ["host", "key"], "left_semi")
-    outside = outside.groupBy("host", "container", "of", "path", "said").agg(F.sum("times").alias("n"))
-    slots = outside.where((F.col("n") < LEAST_PAGES) | (F.col("n") < LEAST_SHARE * F.col("of")))
-    # steps that its path and the container's have in common
-    a, b = F.split("path", "/"), F.split("container", "/")
-    same = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i)))
-    grown = slots.groupBy("host").agg(F.min(same).alias("steps"))
-    around = F.array_join(F.slice(F.split("container", "/"), F.lit(1), F.col("steps")), "/")
-    best = best.join(grown, "host", "left").select("host", F.when(F.col("whole") != "", F.col("whole")).when(F.col("steps").isNotNull(), around).otherwise(F.col("container")).alias("container"))
-    best = scratch.save(best, "grown")
-
-    known = _small(best, scratch)
-    here = elements.join(known, "host").where("path = container").groupBy("host").agg(F.count("*").alias("n"), F.countDistinct("key").alias("unlike"), F.sum("chars").alias("held"))
-    held = texts.join(known, "host").where(_inside("path", "container")).groupBy("host", "exact").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"))
-    same = held.join(here, "host").where((F.col("k") == F.col("n")) & (F.col("unlike") >= LEAST_PAGES))
-    # pages that say mostly the same are copies
-    same = same.groupBy("host", "held").agg(F.collect_list("exact").alias("template"), F.sum("chars").alias("chars")).where(F.col("chars") < MAIN_SHARE * F.col("held"))
-    # a container that is no more than the page itself tells nothing
-    page = F.col("container").rlike(r"^(/html[^/]*)?(/body[^/]*)?$")
-    return best.join(same.select("host", "template"), "host", "left").select("host", F.when(~page, F.col("container")).alias("container"), "template")
+    elements = each.where("said IS NULL").groupBy("host", "path").agg(*_vector(), F.any_value("chain").alias("chain"), F.any_value("tag").alias("tag"), F.any_value("whole").alias("whole"))
+    unlike = each.where("path = 0 AND said IS NULL").select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("unlike"))
+    all_ = elements.where("path = 0").select("host", F.col("vector.n").alias("all"), F.col("chars").alias("text")).join(unlike, "host")
+    all_ = _small(scratch.save(all_.where(F.col("unlike") >= LEAST_PAGES), "hosts"), scratch)
+    often = (F.col("vector.n") >= LEAST_PAGES) & (F.col("vector.n") >= LEAST_SHARE * F.col("all"))
+    elements = scratch.save(elements.join(all_, "host").where(F.col("path") != 0).withColumn("often", often), "elements")
+    known = _small(elements, scratch)
+    template = _small(scratch.save(classes(elements.where("often")), "classes"), scratch)
+
+    # text in the class of an element around it
+    texts = each.where("said IS NOT NULL").groupBy("host", "path", "said").agg(*_vector())
+    texts = texts.join(known.select("host", "path", "chain"), ["host", "path"])
+    texts = scratch.save(texts.select("host", "path", "said", "vector", "chars", "chain"), "texts")
+    shared = texts.where(F.col("vector.n") >= LEAST_PAGES).select("host", "said", "vector", "chars", F.explode("chain").alias("path"))
+    fixed = shared.join(known.select("host", "path", "vector"), ["host", "path", "vector"], "left_semi").join(template.select("host", "vector"), ["host", "vector"], "left_semi")
+    fixed = scratch.save(fixed.groupBy("host", "said").agg(F.max("chars").alias("chars")), "fixed")
+    small = _small(fixed, scratch).select("host", "said")
+
+    filled = texts.join(small, ["host", "said"], "left_anti").select("host", "chars", F.explode("chain").alias("path"))
+    filled = filled.groupBy("host", "path").agg(F.sum("chars").alias("filled"))
+    filled = scratch.save(filled, "filled")
+    total = filled.groupBy("host").agg(F.max("filled").alias("total"))
+    main = known.where((F.col("most") == 1) & F.col("tag").isin(*sorted(_HOLDERS))).join(template.select("host", "vector"), ["host", "vector"], "left_semi")
+    main = main.join(filled, ["host", "path"]).join(total, "host").where(F.col("filled") >= MAIN_SHARE * F.col("total"))
+    best = main.groupBy("host").agg(F.max_by(F.struct("path", "chain", "whole", F.col("vector.n").alias("of")), F.struct(F.size("chain"), "filled", "path")).alias("b")).select("host", "b.*")
+    best = scratch.save(best.withColumnRenamed("path", "inner").withColumnRenamed("chain", "steps"), "innermost")
+
+    # slots of its pages outside it, other than what most of them say
+    open_ = _small(best, scratch).where("whole = 0")
+    has = each.where("said IS NULL").join(open_, "host").where("path = inner").select("host", "key")
+    said = each.where("said IS NOT NULL").select("host", "key", "path", "said", "like").join(small, ["host", "said"], "left_anti").join(known.select("host", "path", "chain"), ["host", "path"])
+    outside = said.join(open_, "host").where(~F.array_contains("chain", F.col("inner"))).join(has, ["host", "key"], "left_semi")
+    outside = outside.select("host", "key", "like", "of", F.size(F.array_intersect("chain", "steps")).alias("common")).distinct()
+    outside = outside.groupBy("host", "like", "of", "common").agg(F.count("*").alias("n"))
+    grown = outside.where((F.col("n") < LEAST_PAGES) | (F.col("n") < LEAST_SHARE * F.col("of"))).groupBy("host").agg(F.min("common").alias("common"))
+    around = F.when(F.col("whole") != 0, F.col("whole")).when(F.col("common").isNull(), F.col("inner")).otherwise(F.get("steps", F.col("common") - 1))
+    best = best.join(grown, "host", "left").select("host", F.coalesce(around, F.lit(0).cast("long")).alias("path"))
+    best = best.join(known.select("host", "path", "tag", "chars"), ["host", "path"], "left")
+    # no more than the page itself tells nothing
+    page = F.col("tag").isNull() | F.col("tag").isin("html", "body")
+    best = scratch.save(best.select("host", F.when(~page, F.col("path")).alias("container"), "chars"), "grown")
+
+    # pages whose main slot is mostly template are copies
+    held = texts.select("host", "said", "chain", F.col("chars").alias("size")).join(small, ["host", "said"], "left_semi").join(_small(best, scratch), "host", "left")
+    held = held.where(F.col("container").isNull() | F.array_contains("chain", F.col("container"))).groupBy("host").agg(F.collect_list("said").alias("template"), F.sum("size").alias("fixed"))
+    out = all_.select("host", "text").join(best, "host", "left").join(held, "host", "left")
+    return out.select("host", "container", F.when(F.col("fixed") < MAIN_SHARE * F.coalesce("chars", "text"), F.col("template")).alias("template"))
+
+
+def _host(url: Column) -> Column:
+    """The host of an address without user and port, in lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages``.
+    """page_id, url, text, n_chars and found_by of every row of ``pages``.
 
-    A null or empty html has empty text; a null url has no host, whose pages have a
-    template like any host's. Repeated rows each get their row. Other columns are not
-    looked at.
+    A null or empty html has empty text; a null url has no host, and pages without a host
+    have a template like any host's. Repeated rows each get their row. Other columns are
+    not looked at. ``found_by`` is template, article, main or page. No rows: no rows.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    known = _small(scratch.save(containers(pages, scratch), "containers"), scratch)
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(known, "host", "left").select("page_id", "url", "html", "container", "template")
+    known = _small(scratch.save(slots(pages, scratch), "slots"), scratch)
+    rows = pages.select("page_id", "url", "html", F.xxhash64(_host(F.col("url"))).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "container", "template")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts = zip(b.column("container").to_pylist(), b.column("template").to_pylist())
-            texts = [extract(h.as_py(), c, frozenset(t or ())) for h, (c, t) in zip(b.column("html"), hosts)]
-            n = pa.array(map(len, texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), n], names=["page_id", "url", "text", "n_chars"])
+            got = [extract(h.as_py(), c, frozenset(t or ())) for h, (c, t) in zip(b.column("html"), hosts)]
+            texts, by = [x for x, _ in got], [x for _, x in got]
+            cols = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(by, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *cols], names=["page_id", "url", "text", "n_chars", "found_by"])
 
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, found_by string")

@@ -38,6 +38,7 @@ def brute(rows):
 @pytest.mark.parametrize("tile", [512, 16])
 def test_rows(spark, tile, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", tile * 512)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 40))
     rows = [(int(i), [float(x) for x in np.float32(base[i % 6] + rng.normal(size=40) * rng.uniform(0, 0.5))], int(i % 2)) for i in rng.permutation(150)]

@@ -1,5 +1,8 @@
 import html as h
 import re
+import time
+
+import pyarrow as pa
 
 from kvartal.llm import html
 
@@ -8,16 +11,20 @@ def page(parts, extra=""):
     return f'<!DOCTYPE html><html><head><title>t &amp; t</title><script>var a="</p>";</script></head><body class="with-sidebar"><header>Site</header><nav><ul><li><a href="/a">Menu</a></ul></nav><div class="ad">Buy</div>{parts}{extra}<footer>&copy; x</footer></body></html>'
 
 
+def text(x):
+    return html.extract(x)[0]
+
+
 def test_blocks():
-    assert html.extract(page("<article class='has-comments'><h1>A &amp; B</h1><p><b>Lead\n in<br><p>One<p>Two &lt;3&nbsp;x</article>")) == "A & B\nLead in\nOne\nTwo <3 x"
-    assert html.extract("plain  text") == "plain text" and html.extract(None) == html.extract("") == ""
-    assert html.extract("<article><p>a<script>x<y</script>b<!-- c -->d</p><p>e &am") == "abd\ne &am"
-    assert html.extract('<main><p title="a>b">one</p><form>f</form><div id="comments"><p>c</p></div><aside>s</aside></main>') == "one"
-    assert html.extract("<article><header><h1>T</h1></header><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></article>") == "T\nx\ny\n1\n2"
-    assert html.extract("<article><div class='post-header'><h1>T</h1></div><div class='post-footer'>f</div>x</article>") == "T\nx"
-    assert html.extract("<p>cut <b") == "cut" and html.extract("a < b and 1<2") == "a < b and 1<2"
-    assert html.extract("<article>" + "<p>x</p>" * 20000 + "</article>") == "\n".join(["x"] * 20000)
-    assert html.extract("<div>" * 3000 + "deep") == "deep"
+    assert text(page("<article class='has-comments'><h1>A &amp; B</h1><p><b>Lead\n in<br><p>One<p>Two &lt;3&nbsp;x</article>")) == "A & B\nLead in\nOne\nTwo <3 x"
+    assert text("plain  text") == "plain text" and text(None) == text("") == ""
+    assert text("<article><p>a<script>x<y</script>b<!-- c -->d</p><p>e &am") == "abd\ne &am"
+    assert text('<main><p title="a>b">one</p><form>f</form><div id="comments"><p>c</p></div><aside>s</aside></main>') == "one"
+    assert text("<article><header><h1>T</h1></header><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></article>") == "T\nx\ny\n1\n2"
+    assert text("<article><div class='post-header'><h1>T</h1></div><div class='post-footer'>f</div>x</article>") == "T\nx"
+    assert text("<p>cut <b") == "cut" and text("a < b and 1<2") == "a < b and 1<2"
+    assert text("<article>" + "<p>x</p>" * 20000 + "</article>") == "\n".join(["x"] * 20000)
+    assert text("<div>" * 3000 + "deep") == "deep"
 
 
 def test_template_finds_the_main_slot(spark):
@@ -69,6 +76,63 @@ def test_text_that_every_page_repeats_goes(spark):
     assert pages_of(spark, copies)[3] == f"{said(1, 30)}\n3"
 
 
+def test_repeated_sentences_in_unnamed_elements_go(spark):
+    bodies = [f'<div class="c1"><div class="c2"><p>{said(i % 10, 40)} {i}</p><div class="c7">See our other pages for more of this</div><p>{said((i + 3) % 10, 30)} {i}</p></div><div class="c9">All of it is ours since 19{i}</div></div>' for i in range(20)]
+    got = pages_of(spark, bodies)
+    assert all(got[i] == f"{said(i % 10, 40)} {i}\n{said((i + 3) % 10, 30)} {i}" for i in range(20))
+
+
+def test_sections_of_some_pages_are_classes_of_their_own(spark):
+    bodies = [f'<div class="c2"><p>{said(i % 10, 40)} {i}</p>{"<div class=c8>Only some pages say so</div>" if i % 3 else ""}<p>{said((i + 3) % 10, 30)} {i}</p></div>' for i in range(20)]
+    assert all("Only some" not in x for x in pages_of(spark, bodies).values())
+
+
+def brute_template(pages):
+    """Tokens of text whose occurrences on all pages equal those of an element around them, by whole vectors."""
+    from collections import Counter, defaultdict
+
+    seen, around = defaultdict(Counter), {}
+    for k, x in enumerate(pages):
+        p = html.Page(x)
+        for i in range(1, len(p.path)):
+            seen["e", p.path[i]][k] += 1
+        for at, t in p.blocks:
+            key = "t", p.token(at, t)
+            seen[key][k] += 1
+            while at:
+                around.setdefault(key, set()).add(p.path[at])
+                at = p.parent[at]
+    often = max(html.LEAST_PAGES, html.LEAST_SHARE * len(pages))
+    return {key[1] for key, of in around.items() if len(seen[key]) >= often and any(seen["e", e] == seen[key] for e in of)}
+
+
+def test_template_against_whole_vectors(spark):
+    import random
+
+    rng = random.Random(4)
+    bodies = []
+    for i in range(40):
+        parts = [f"<p>{said(rng.randrange(10), rng.randint(20, 60))} {'abcdefgh'[i % 8] * (i + 1)}</p>" for _ in range(4)]
+        for k in range(5):
+            if rng.random() < 0.3 + 0.2 * k:
+                parts.insert(rng.randint(0, len(parts)), f'<div class="b{k}"><b>Note</b> number {k} {"s" * k}</div>' if rng.random() < 0.9 or k < 3 else f'<div class="b{k}">x</div>')
+        bodies.append(f'<html><body><div class="top">one and the same</div><div class="m">{"".join(parts)}</div></body></html>')
+    got = pages_of(spark, [b[12:-14] for b in bodies])
+    template = brute_template(bodies)
+    assert template
+    for i, b in enumerate(bodies):
+        p = html.Page(b)
+        inside = p.within(lambda k, p=p: p.tag[k] == "div" and p.depth[k] == 3)
+        assert got[i] == "\n".join(t for at, t in p.blocks if p.token(at, t) not in template and inside[at]), i
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    start = time.time()
+    assert text("<div class=a>x" * 100_000).count("x") == 100_000 and text("<p>" + "<b>" * 50_000 + "y</i></i>" * 50_000).count("y") == 50_000
+    assert len(list(html._occurrences([pa.record_batch({"host": [1], "key": [2], "html": ["<div>x" * 50_000]})])))
+    assert time.time() - start < 30
+
+
 def test_query(spark, sf_dir):
     from kvartal.llm.queries import queries
 
