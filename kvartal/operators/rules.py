@@ -22,6 +22,14 @@ class Rules:
         self.rows.setdefault(table, (df, []))[1].append((name, holds))
         return self
 
+    def mask(self, name: str, table: str, df: DataFrame, column: str, known: int) -> "Rules":
+        """A set of bits that holds known ones only."""
+        return self.must(name, table, df, F.col(column).bitwiseAND(F.lit(~known)) == 0)
+
+    def max_or_none(self, name: str, table: str, df: DataFrame, column: str, most: int) -> "Rules":
+        """At most ``most``, or null."""
+        return self.must(name, table, df, F.col(column).isNull() | (F.col(column) <= most))
+
     def unique(self, name: str, df: DataFrame, keys: list[str]) -> "Rules":
         """Rows beyond the first of each key."""
         more = df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("violations"))

@@ -204,10 +204,10 @@ def demand_headway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_load(spark, sf_dir).groupBy("route").agg(F.least(F.lit(900), F.greatest(F.lit(90), need)).cast("long").alias("headway"))
 
 
-@query("run_schedule", "SELECT s_suppkey AS route, p AS period, dep FROM (SELECT s_suppkey, p, unnest(range(p * 14400 + s_suppkey * 37 % (300 + 60 * p), (p + 1) * 14400, 300 + 60 * p)) AS dep FROM (SELECT * FROM supplier WHERE s_suppkey <= 200), range(0, 6) t(p))")
+@query("run_schedule", "SELECT s_suppkey AS route, p AS period, dep FROM (SELECT s_suppkey, p, unnest(range(p * 14400 + s_suppkey * 37 % (300 + 60 * p), (p + 1) * 14400, 300 + 60 * p)) AS dep FROM supplier, range(0, 6) t(p))")
 def run_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures of each route and period."""
-    s = read(spark, sf_dir, "supplier").where("s_suppkey <= 200").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("p"))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("p"))
     step = 300 + 60 * F.col("p")
     return s.select(F.col("s_suppkey").alias("route"), F.col("p").alias("period"), F.explode(F.sequence(F.col("p") * 14400 + F.col("s_suppkey") * 37 % step, (F.col("p") + 1) * 14400 - 1, step)).alias("dep"))
 
