@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -25,6 +26,41 @@ def last_n(df: DataFrame, by: str, order: list[Column], n: int, rank: str = "bac
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+def boarding_with_limit(arrivals: DataFrame, vehicles: DataFrame, stop: str, limit: int) -> DataFrame:
+    """The same where those who have waited longer than ``limit`` leave the queue before the next vehicle.
+
+    Returns stop, id, rank, k (null: gave up, or nobody came within the limit). Persons are
+    counted by vehicle first; only a stop's vehicles are walked through in order: the queue's
+    head is behind those who boarded and those who left.
+    """
+    w = W.Window.partitionBy(stop)
+    ranked = arrivals.withColumn("rank", F.row_number().over(w.orderBy("t", "id")).cast("long"))
+    here = arrivals.groupBy(stop, "t").agg(F.count("*").alias("n"))
+    ends = lambda at: vehicles.select(stop, at.alias("t"), "k", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"))
+
+    def upto(at: Column, name: str, before: bool) -> DataFrame:
+        # arrivals at the same time count unless only those before it are asked for
+        both = here.select(stop, "t", F.lit(None).cast("long").alias("k"), F.lit(2 if before else 0).alias("kind"), "n").unionByName(ends(at))
+        seen = both.withColumn(name, F.sum("n").over(w.orderBy("t", "kind").rangeBetween(W.Window.unboundedPreceding, 0)))
+        return seen.where("kind = 1").select(stop, "k", name)
+
+    each = upto(F.col("depart"), "came", False).join(upto(F.col("depart") - limit, "left", True), [stop, "k"]).join(vehicles.select(stop, "k", "seats"), [stop, "k"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        head, lo, hi = 0, [], []
+        for came, left, seats in zip(pdf["came"], pdf["left"], pdf["seats"]):
+            start = max(head, left)
+            head = max(start, min(came, start + seats))
+            lo.append(start + 1), hi.append(head)
+        return pd.DataFrame({stop: pdf[stop], "k": pdf["k"], "lo": lo, "hi": hi})
+
+    kind = arrivals.schema[stop].dataType.simpleString()
+    taken = each.groupBy(stop).applyInPandas(walk, f"{stop} {kind}, k long, lo long, hi long").where("lo <= hi")
+    taken = taken.select(F.col(stop).alias("_s"), "k", F.explode(F.sequence("lo", "hi")).alias("_r"))
+    return ranked.join(taken, (F.col(stop) == F.col("_s")) & (F.col("rank") == F.col("_r")), "left").select(stop, "id", "rank", "k")
+
+
 def boarding(arrivals: DataFrame, vehicles: DataFrame, stop: str) -> DataFrame:
     """Who boards which vehicle of a stop, first come first served, in closed form.
 

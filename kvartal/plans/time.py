@@ -102,26 +102,34 @@ c AS (SELECT v.*, (SELECT count(*) FROM q WHERE q.stop = v.stop AND q.t <= v.dep
 r AS (SELECT stop, k, least(seats, a) AS b FROM c WHERE k = 0 UNION ALL SELECT c.stop, c.k, least(r.b + c.seats, c.a) FROM r JOIN c ON c.stop = r.stop AND c.k = r.k + 1)"""
 
 
-def _boarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _queues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Arrivals at stops, and vehicles with their seats."""
     arrivals = clock_events(spark, sf_dir).select((F.col("user_id") % 10).alias("stop"), "t", F.col("event_id").alias("id"))
     v = spark.range(10).select(F.col("id").alias("stop"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(179).cast("long"))).alias("k"))
-    v = v.select("stop", "k", (F.col("k") * 14400 + F.col("stop") * 600).alias("depart"), (2 + (F.col("k") + F.col("stop")) % 3).alias("seats"))
-    return E.boarding(arrivals, v, "stop").join(v.select(F.col("stop").alias("_s"), F.col("k").alias("_k"), "depart"), (F.col("stop") == F.col("_s")) & (F.col("k") == F.col("_k")), "left").join(
-        arrivals.select(F.col("id").alias("_i"), "t"), F.col("id") == F.col("_i")
-    )
+    return arrivals, v.select("stop", "k", (F.col("k") * 14400 + F.col("stop") * 600).alias("depart"), (2 + (F.col("k") + F.col("stop")) % 3).alias("seats"))
 
 
 @query("capacity_boarding", _BOARD + " SELECT q.stop, q.id, q.rank, min(r.k) AS k FROM q LEFT JOIN r ON r.stop = q.stop AND r.b >= q.rank GROUP BY ALL")
 def capacity_boarding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which vehicle each waiting person boards, seats being few."""
-    return _boarded(spark, sf_dir).select("stop", "id", "rank", "k")
+    return E.boarding(*_queues(spark, sf_dir), "stop")
 
 
-@query("wait_timeout", _BOARD + ", b AS (SELECT q.stop, q.id, q.t, min(r.k) AS k FROM q LEFT JOIN r ON r.stop = q.stop AND r.b >= q.rank GROUP BY ALL) SELECT id, CAST(v.depart - t AS BIGINT) AS wait, v.depart IS NULL OR v.depart - t > 20000 AS gives_up FROM b LEFT JOIN v ON v.stop = b.stop AND v.k = b.k")
+_LEAVE = f"""WITH RECURSIVE {_EV}, q AS (SELECT user_id % 10 AS stop, t, event_id AS id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY t, event_id) AS rank FROM e),
+v AS (SELECT s AS stop, k, k * 14400 + s * 600 AS depart, 2 + (k + s) % 3 AS seats FROM range(0, 10) a(s), range(0, 180) b(k)),
+c AS (SELECT v.*, (SELECT count(*) FROM q WHERE q.stop = v.stop AND q.t <= v.depart) AS came, (SELECT count(*) FROM q WHERE q.stop = v.stop AND q.t < v.depart - 20000) AS gone FROM v),
+r AS (SELECT stop, k, gone AS lo, greatest(gone, least(came, gone + seats)) AS hi FROM c WHERE k = 0
+UNION ALL SELECT c.stop, c.k, greatest(r.hi, c.gone), greatest(r.hi, c.gone, least(c.came, greatest(r.hi, c.gone) + c.seats)) FROM r JOIN c ON c.stop = r.stop AND c.k = r.k + 1)"""
+
+
+@query("wait_timeout", _LEAVE + " SELECT q.id, r.k, CAST(v.depart - q.t AS BIGINT) AS wait, r.k IS NULL AS gives_up FROM q LEFT JOIN r ON r.stop = q.stop AND q.rank > r.lo AND q.rank <= r.hi LEFT JOIN v ON v.stop = q.stop AND v.k = r.k")
 def wait_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who would wait longer than the limit."""
-    wait = F.col("depart") - F.col("t")
-    return _boarded(spark, sf_dir).select("id", wait.alias("wait"), (wait.isNull() | (wait > 20000)).alias("gives_up"))
+    """Who boards which vehicle where those who wait longer than the limit leave the queue."""
+    arrivals, v = _queues(spark, sf_dir)
+    got = E.boarding_with_limit(arrivals, v, "stop", 20000)
+    depart = v.select(F.col("stop").alias("_s"), F.col("k").alias("_k"), "depart")
+    both = got.join(depart, (F.col("stop") == F.col("_s")) & (F.col("k") == F.col("_k")), "left").join(arrivals.select(F.col("id").alias("_i"), "t"), F.col("id") == F.col("_i"))
+    return both.select("id", "k", (F.col("depart") - F.col("t")).alias("wait"), F.col("k").isNull().alias("gives_up"))
 
 
 _PRES = "p AS (SELECT user_id, event_type AS grp, t AS since, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id), 2592000) AS until FROM e)"

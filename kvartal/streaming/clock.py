@@ -44,11 +44,17 @@ def passthrough(events: DataFrame, within_s: int) -> DataFrame:
     return events.withWatermark("ts", f"{within_s} seconds").dropDuplicatesWithinWatermark(["event_id"])
 
 
+#: Seconds that the stream's time is ahead of t: what comes at time 0 counts as late to a watermark.
+START = 86400
+
+
 class WaitLimit:
-    """Persons at a stop: one row when they board, or when they have waited too long (a timer).
+    """Persons at a stop: one row when they board, or when they have waited too long.
 
     Input rows: key, t (seconds), kind (0 arrives, 1 vehicle with ``seats``), id, seats; in one
-    micro-batch all rows of a key are applied in order of (t, kind, id), as the clock does.
+    micro-batch all rows of a key are applied in order of (t, kind, id), as the clock does. The
+    first in the queue sets a timer, which fires when the stream's time has passed their limit,
+    whether or not their stop sees another row.
     """
 
     schema = "key long, id long, t long, outcome string"
@@ -60,25 +66,39 @@ class WaitLimit:
         import pandas as pd
 
         queue = [tuple(x) for x in (state.get[0] if state.exists else [])]
-        now = state.get[1] if state.exists else 0
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values(["t", "kind", "id"]).itertuples():
-                now = max(now, r.t)
-                while queue and queue[0][0] + self.limit < r.t:
-                    t, i = queue.pop(0)
-                    out.append((key[0], i, t + self.limit, "gave up"))
+
+        def give_up(before: int) -> None:
+            while queue and queue[0][0] + self.limit < before:
+                t, i = queue.pop(0)
+                out.append((key[0], i, t + self.limit, "gave up"))
+
+        if state.hasTimedOut:
+            give_up(state.getCurrentWatermarkMs() // 1000 - START + 1)
+        else:
+            # a micro-batch comes in several frames: its rows have one order
+            for r in pd.concat(list(rows)).sort_values(["t", "kind", "id"]).itertuples():
+                give_up(r.t)
                 if r.kind == 0:
                     queue.append((int(r.t), int(r.id)))
                 else:
                     for t, i in queue[: int(r.seats)]:
                         out.append((key[0], i, int(r.t), "boarded"))
                     del queue[: int(r.seats)]
-        state.update(([list(x) for x in queue], now))
+        if queue:
+            state.update(([list(x) for x in queue],))
+            state.setTimeoutTimestamp(max((queue[0][0] + self.limit + START) * 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["key", "id", "t", "outcome"])
 
 
-def wait_limit(rows: DataFrame, limit: int) -> DataFrame:
-    """Outcomes of all who arrive, over a stream of rows keyed by stop."""
+def wait_limit(rows: DataFrame, limit: int, lateness: str = "0 seconds") -> DataFrame:
+    """Outcomes of all who arrive, over a stream of rows keyed by stop whose t is the stream's time.
+
+    Rows later than ``lateness`` are dropped, as the watermark has passed them. Who waits still
+    when the stream ends has no outcome yet.
+    """
     f = WaitLimit(limit)
-    return rows.groupBy("key").applyInPandasWithState(f.__call__, f.schema, "queue array<array<long>>, now long", "append", "NoTimeout")
+    timed = rows.withColumn("ts", F.timestamp_seconds(F.col("t") + START)).withWatermark("ts", lateness)
+    return timed.groupBy("key").applyInPandasWithState(f.__call__, f.schema, "queue array<array<long>>", "append", "EventTimeTimeout")

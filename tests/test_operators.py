@@ -1,3 +1,5 @@
+import os
+
 import random
 
 import pytest
@@ -97,15 +99,45 @@ def test_text(spark):
     assert one(spark, text.squeeze(F.lit("  a \n b  c "), 4)) == "a b…"
 
 
-def test_wait_limit_stream_does_not_depend_on_batches(spark, tmp_path):
+@pytest.mark.parametrize("per_batch", [1, 2, 100])
+def test_wait_limit_stream_does_not_depend_on_batches(spark, tmp_path, per_batch):
     rows = [(s, t, 0, s * 100 + t, 0) for s in range(2) for t in range(20)] + [(s, t, 1, 0, 3) for s in range(2) for t in (5, 11, 40)]
+    rows += [(3, 2, 0, 900, 0), (3, 7, 0, 901, 0), (3, 30, 0, 902, 0), (4, 95, 0, 903, 0), (4, 99, 1, 0, 1)]  # nobody comes for those at stop 3
     schema = "key long, t long, kind long, id long, seats long"
-    got = []
-    for parts in (1, 4):
-        at = tmp_path / str(parts)
-        for i in range(parts):
-            lo, hi = 100 // parts * i, 100 // parts * (i + 1)
-            spark.createDataFrame([r for r in rows if lo <= r[1] < hi] or [(9, 0, 0, 0, 0)], schema).coalesce(1).write.mode("append").parquet(str(at))
-        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(str(at)).where("key < 9")
-        got.append(sorted(map(tuple, clock.drain(clock.wait_limit(s, 15), f"wait{parts}").collect())))
-    assert got[0] == got[1] and {r[3] for r in got[0]} == {"boarded", "gave up"}
+    for i in range(4):
+        at = tmp_path / f"part{i}"
+        spark.createDataFrame([r for r in rows if 25 * i <= r[1] < 25 * i + 25] or [(9, 25 * i, 0, 0, 0)], schema).coalesce(1).write.parquet(str(at))
+        for f in at.glob("*.parquet"):
+            f.rename(tmp_path / f"f{i}.parquet")
+            os.utime(tmp_path / f"f{i}.parquet", (1_000_000 + i * 100,) * 2)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(f"{tmp_path}/f*.parquet").where("key < 9")
+    got = sorted(map(tuple, clock.drain(clock.wait_limit(s, 15), f"wait{per_batch}").collect()))
+    queue, want = {}, []
+    for key, t, kind, i, seats in sorted(rows, key=lambda r: r[1:4]):
+        q = queue.setdefault(key, [])
+        while q and q[0][0] + 15 < t:
+            a, j = q.pop(0)
+            want.append((key, j, a + 15, "gave up"))
+        if kind == 0:
+            q.append((t, i))
+        else:
+            want += [(key, j, t, "boarded") for _, j in q[:seats]]
+            del q[:seats]
+    want += [(key, i, t + 15, "gave up") for key, q in queue.items() for t, i in q if t + 15 <= 99]
+    assert got == sorted(want) and {r[1] for r in got} == {r[3] for r in rows if r[2] == 0}
+
+
+def test_largest_remainder_against_one_ranking(spark):
+    from fractions import Fraction
+
+    rows = [("ab"[i % 2], i, (i * 7919) % 101 + (i % 5 == 0)) for i in range(500)]
+    for by in (["g"], None):
+        got = {r.id: r.share for r in alloc.largest_remainder(spark.createDataFrame(rows, "g string, id long, w long"), 1003, "w", "id", by).collect()}
+        for g in ("a", "b") if by else (None,):
+            own = [r for r in rows if g in (None, r[0])]
+            total = sum(r[2] for r in own)
+            exact = {r[1]: Fraction(1003 * r[2], total) for r in own}
+            base = {i: int(x) for i, x in exact.items()}
+            for i in sorted(exact, key=lambda i: (base[i] - exact[i], i))[: 1003 - sum(base.values())]:
+                base[i] += 1
+            assert {i: got[i] for i in base} == base
