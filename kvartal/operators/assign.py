@@ -13,10 +13,6 @@ from pyspark.sql import window as W
 from kvartal.functions import rng
 from kvartal.scratch import Scratch
 
-#: Candidates up to which a cumulative row fits an array of a block.
-ROW = 100_000
-
-
 def gravity(people: DataFrame, places: DataFrame, pull: DataFrame, seed: int, rounds: int | None = None) -> DataFrame:
     """(person, place, round) by rounds of parallel proposals with ranked acceptance.
 
@@ -117,3 +113,65 @@ def pair_platforms(members: DataFrame, order: list[str]) -> DataFrame:
     w = W.Window.partitionBy("route").orderBy(*order)
     rows = members.where(F.col("kind").isin("stop", "platform")).withColumns({"_k": F.lead("kind").over(w), "_i": F.lead("id").over(w)})
     return rows.where("kind = 'stop'").select("route", F.col("id").alias("stop"), F.when(F.col("_k") == "platform", F.col("_i")).alias("platform"))
+
+
+def merge_stops(members: DataFrame, near: float, near_same_name: float) -> DataFrame:
+    """(route, place, id, alias) of route members (route, no, kind, id, x, y, name): stops and platforms in route order.
+
+    A stop and a platform are one if they are nearer than ``near``, or than ``near_same_name``
+    and of one name; the stop stands for both and the platform is its alias. Neighbours pair,
+    in either order, from the route's begin on. A route that lists all of one kind before
+    all of the other holds two parallel lists: the longer (stops if equal) keeps its order,
+    each of the other list joins the first of it that is near and behind the last one joined,
+    and those that find none follow that one. Without any pair the order stays.
+    """
+    rows = members.where(F.col("kind").isin("stop", "platform"))
+    w = W.Window.partitionBy("route").orderBy("no", "id")
+    last = F.lag("kind").over(w)
+    rows = rows.withColumn("_turn", F.coalesce(last != F.col("kind"), F.lit(False)).cast("int"))
+    shape = rows.groupBy("route").agg(F.sum("_turn").alias("_turns")).where("_turns = 1").select("route")
+    rows = rows.drop("_turn")
+    lists = rows.join(shape, "route", "left_semi")
+    walked = rows.join(shape, "route", "left_anti")
+
+    def close(a: dict, b: dict) -> bool:
+        d = ((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2) ** 0.5
+        return d < near or bool(a["name"]) and a["name"] == b["name"] and d < near_same_name
+
+    def parallel(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a route's members are few
+        all_ = pdf.sort_values(["no", "id"]).to_dict("records")
+        stops, platforms = ([m for m in all_ if m["kind"] == k] for k in ("stop", "platform"))
+        base, other = (stops, platforms) if len(stops) >= len(platforms) else (platforms, stops)
+        behind, joined, follow = 0, {}, {0: []}
+        for m in other:
+            hits = [k for k in range(behind, len(base)) if close(base[k], m)]
+            if hits:
+                behind = hits[0] + 1
+                joined[behind] = m["id"]
+            else:
+                follow.setdefault(behind, []).append((m["id"], None))
+        out = [(m["id"], None) for m in all_]
+        if joined:
+            out = list(follow[0])
+            for k, m in enumerate(base, 1):
+                out += [(m["id"], joined.get(k)), *follow.get(k, [])]
+        return pd.DataFrame({"route": pdf["route"].iloc[0], "place": range(len(out)), "id": [i for i, _ in out], "alias": pd.array([a for _, a in out], dtype="Int64")})
+
+    kind = members.schema["route"].dataType.simpleString()
+    two = lists.groupBy("route").applyInPandas(parallel, f"route {kind}, place long, id long, alias long")
+
+    nxt = lambda c: F.lead(c).over(w)
+    d2 = (F.col("x") - nxt("x")) * (F.col("x") - nxt("x")) + (F.col("y") - nxt("y")) * (F.col("y") - nxt("y"))
+    same = (F.col("name") != "") & (F.col("name") == nxt("name"))
+    link = (F.col("kind") != nxt("kind")) & ((d2 < near * near) | (same & (d2 < near_same_name * near_same_name)))
+    rows = walked.withColumns({"_link": F.coalesce(link, F.lit(False)), "_next": nxt("id"), "_n": F.row_number().over(w)})
+    # in a run of links every other one is taken, the first first
+    since = F.max(F.when(~F.col("_link"), F.col("_n"))).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_taken", F.col("_link") & ((F.col("_n") - F.coalesce(since, F.lit(0))) % 2 == 1))
+    rows = rows.withColumn("_second", F.coalesce(F.lag("_taken").over(w), F.lit(False))).where("NOT _second")
+    first_is_stop = F.col("kind") == "stop"
+    id_ = F.when(F.col("_taken") & ~first_is_stop, F.col("_next")).otherwise(F.col("id"))
+    alias = F.when(F.col("_taken"), F.when(first_is_stop, F.col("_next")).otherwise(F.col("id")))
+    one = rows.select("route", (F.row_number().over(w) - 1).cast("long").alias("place"), id_.cast("long").alias("id"), alias.cast("long").alias("alias"))
+    return one.unionByName(two)

@@ -52,6 +52,10 @@ class Rules:
         bad = rows.withColumn("_due", due).where(F.col("_b") == F.col("_own"))
         return self._add(name, bad.agg(F.count_if(~F.col(offset).eqNullSafe(F.col("_due"))).alias("violations")))
 
+    def count(self, name: str, df: DataFrame, rows: int) -> "Rules":
+        """How many rows a table has too many or too few."""
+        return self._add(name, df.agg(F.abs(F.count("*") - rows).alias("violations")))
+
     def equal(self, name: str, a: DataFrame, b: DataFrame) -> "Rules":
         """Rows that only one of two tables has."""
         both = a.exceptAll(b).unionAll(b.exceptAll(a))

@@ -94,7 +94,8 @@ def edge_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'flag_code', (SELECT count(*) FROM l WHERE l_returnflag NOT IN ('A', 'N'))
     UNION ALL SELECT 'nation_region_exists', (SELECT count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region))
     UNION ALL SELECT 'totals_equal', (SELECT count(*) FROM ((SELECT c_nationkey FROM customer EXCEPT ALL SELECT n_nationkey FROM nation) UNION ALL (SELECT n_nationkey FROM nation EXCEPT ALL SELECT c_nationkey FROM customer)))
-    UNION ALL SELECT 'offsets', 0""",
+    UNION ALL SELECT 'offsets', 0
+    UNION ALL SELECT 'offsets_moved', (SELECT count(*) FILTER (o % 100 = 50) + count(*) FILTER (o % 100 = 50 AND o < m) FROM (SELECT dense_rank() OVER (ORDER BY l_orderkey) - 1 AS o, (SELECT count(DISTINCT l_orderkey) - 1 FROM l) AS m FROM (SELECT DISTINCT l_orderkey FROM l)))""",
 )
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of reference, uniqueness, range, code, equality and offset rules."""
@@ -114,6 +115,8 @@ def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .must("flag_code", "lineitem", line, F.col("l_returnflag").isin("A", "N"))
         .equal("totals_equal", t("customer").select("c_nationkey"), t("nation").select("n_nationkey"))
         .csr("offsets", numbered, "row", "first", "n")
+        # the same with faults put in: a moved offset is wrong itself, and makes the next one wrong
+        .csr("offsets_moved", numbered.withColumn("first", F.col("first") + (F.col("row") % 100 == 50).cast("long")), "row", "first", "n")
         .report()
     )
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import math
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kvartal.operators.rules import Rules
+
 # Fixed values of the table format, version 1.
 MAGIC = b"MESMTAB\0"
 HEADER, COLUMN, ALIGN, MOST_COLUMNS = 128, 64, 64, 256
@@ -85,7 +88,7 @@ def read_table(spark: SparkSession, path: str, columns: dict[str, str]) -> DataF
 
     The none value of unsigned columns is null. A column in which values can be unknown
     has a second one, ``<name>_state``: value, none or unknown; declare it as ``u32?``.
-    Only columns with a value a row can be read so; pools of lists are read by ``read_pool``.
+    Only columns with a value a row can be read so; lists of a pool are read by ``read_pool``.
     """
     fields = ["row bigint"]
     for c, k in columns.items():
@@ -121,15 +124,93 @@ def read_table(spark: SparkSession, path: str, columns: dict[str, str]) -> DataF
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
+def read_pool(spark: SparkSession, path: str, offsets: str, pool: str) -> DataFrame:
+    """(row, pos, value) of the lists that a column of offsets (one more than rows) cuts a pool column into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column("content"):
+                head, got = decode(data.as_py())
+                at, values = got[offsets][1].astype(np.int64), got[pool][1]
+                if len(at) != head["rows"] + 1 or at[0] != 0 or at[-1] != len(values) or (np.diff(at) < 0).any():
+                    raise PackageError(f"{head['name']}: {offsets} do not cut {pool}")
+                for lo in range(0, len(values), 1 << 16):
+                    k = np.arange(lo, min(lo + (1 << 16), len(values)))
+                    row = np.searchsorted(at, k, side="right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(k - at[row]), pa.array(values[k].astype(np.int64))], names=["row", "pos", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row long, pos long, value long")
+
+
 def verify(spark: SparkSession, folder: str, catalogue: DataFrame) -> DataFrame:
-    """(path, fault) of files of a catalogue (path, size, sha256) that are missing or differ."""
+    """(path, fault) of files of a catalogue (path below the folder, size, sha256) that are missing or differ."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    found = files.select(F.substring_index("path", "/", -1).alias("path"), F.col("length").alias("got_size"), F.sha2("content", 256).alias("got_sha"))
+    base = "/" + folder.rstrip("/").rpartition("/")[2] + "/"
+    found = files.select(F.substring_index("path", base, -1).alias("path"), F.col("length").alias("got_size"), F.sha2("content", 256).alias("got_sha"))
     both = catalogue.join(found, "path", "left")
     fault = F.when(F.col("got_size").isNull(), "missing").when(F.col("size") != F.col("got_size"), "size").when(F.col("sha256") != F.col("got_sha"), "hash")
     return both.select("path", fault.alias("fault")).where(F.col("fault").isNotNull())
 
 
+#: Bytes that a manifest or index may have: they are read by the driver.
+MOST_JSON = 16 << 20
+
+
+def document(spark: SparkSession, path: str) -> object:
+    """A small strict JSON document of a package; its size is looked at before its content."""
+    files = spark.read.format("binaryFile").load(path)
+    size = files.select("length").first()
+    if size is None or size[0] > MOST_JSON:
+        raise PackageError(f"{path}: {'missing' if size is None else 'too large'}")
+    return strict_json(bytes(files.select("content").first()[0]), MOST_JSON)
+
+
+def write_document(spark: SparkSession, path: str, value: object) -> None:
+    """A JSON document with sorted keys, put in the place of an older one in one step."""
+    text = (json.dumps(value, sort_keys=True, ensure_ascii=False, indent=1, allow_nan=False) + "\n").encode()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf)
+    flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
+    out = files.create(tmp, flags, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 0))
+    out.write(bytearray(text))
+    out.close()
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(tmp, to, replace)
+
+
+def load_package(spark: SparkSession, folder: str, rules: Callable[[Rules, dict[str, DataFrame]], Rules] | None = None) -> dict[str, DataFrame]:
+    """All tables of a package, or an error that names every fault: nothing is loaded in part.
+
+    ``manifest.json`` names the index; the index lists tables with path, size, sha256, rows
+    and columns (name to type). Files are verified, then decoded against their declared
+    columns, then ``rules`` over all tables must hold.
+    """
+    manifest = document(spark, f"{folder}/manifest.json")
+    index = document(spark, f"{folder}/{manifest['index']}")
+    listed = index["tables"]
+    names = [t["name"] for t in listed]
+    faults = [f"{n}: listed twice" for n in sorted({n for n in names if names.count(n) > 1})]
+    faults += [f"{t['path']}: outside the package" for t in listed if t["path"].startswith("/") or ".." in t["path"].split("/")]
+    if index.get("package") != manifest.get("package_id"):
+        faults.append("index of another package")
+    if not faults:
+        catalogue = spark.createDataFrame([(t["path"], t["size"], t["sha256"]) for t in listed], "path string, size long, sha256 string")
+        faults = [f"{r.path}: {r.fault}" for r in verify(spark, folder, catalogue).orderBy("path").collect()]
+    if faults:
+        raise PackageError("; ".join(faults))
+    tables = {t["name"]: read_table(spark, f"{folder}/{t['path']}", t["columns"]) for t in listed}
+    check = Rules()
+    for t in listed:
+        check.count(f"{t['name']}: {t['rows']} rows", tables[t["name"]], t["rows"])
+    report = (rules(check, tables) if rules else check).report()
+    broken = [f"{r.check_name}: {r.violations}" for r in report.where("violations > 0").orderBy("check_name").collect()]
+    if broken:
+        raise PackageError("; ".join(broken))
+    return tables
+
+
 def strict_json(data: bytes, most: int = 64 << 20) -> object:
     """A JSON document in UTF-8; repeated keys, NaN and infinities are errors."""
     if len(data) > most:
