@@ -23,7 +23,7 @@ from pyspark.sql import window as W
 PROFILE = 400
 ORDERS = (1, 2, 3)
 #: Code points counted at a time while learning.
-CHUNK = 1 << 22
+CHUNK = 1 << 19
 
 _SHIFT = np.uint64(21)
 
