@@ -19,11 +19,12 @@ Main path: DataFrame operations only.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -114,20 +115,26 @@ def _small(df: DataFrame, scratch: Scratch) -> DataFrame:
     return F.broadcast(df) if scratch.size(df) <= BROADCAST_BYTES else df
 
 
+def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A catalogue of the driver's as rows that the plan itself holds: no Python worker makes them, and one task writes them."""
+    parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>", {"mode": "FAILFAST"})
+    return spark.range(0, 1, 1, 1).select(F.explode(parsed).alias("r")).select("r.*")
+
+
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def _inside(slim: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+def _inside(slim: DataFrame, rows: list[dict], schema: str) -> DataFrame:
     """Documents whose key lies between lo and hi of their source's row."""
-    edges = slim.sparkSession.createDataFrame(rows, f"s string, lo long, hi long{schema}")
-    edges = F.broadcast(edges) if sum(40 + 4 * len(r[0] or "") for r in rows) <= BROADCAST_BYTES else edges
+    edges = _literal(slim.sparkSession, rows, f"s:string,lo:bigint,hi:bigint{schema}")
+    edges = F.broadcast(edges) if sum(40 + 4 * len(r["s"] or "") for r in rows) <= BROADCAST_BYTES else edges
     return slim.join(edges, _same(F.col("source"), F.col("s")) & F.col("u").between(F.col("lo"), F.col("hi")))
 
 
 def _cells(slim: DataFrame, open_: list[Share], shift: int):
     """(source, sorted (block, size, rows) inside its edge) of one source after another."""
-    inside = _inside(slim, [(s.source, s.cut, s.end - 1) for s in open_], "")
+    inside = _inside(slim, [{"s": s.source, "lo": s.cut, "hi": s.end - 1} for s in open_], "")
     cells = inside.groupBy("source", F.shiftright("u", shift).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     for source, rows in groupby(cells.orderBy("source", "cell").toLocalIterator(), lambda r: r.source):
         yield source, [(r.cell, r["size"], r.rows) for r in rows]
@@ -167,7 +174,7 @@ def plan(slim: DataFrame, shards: int, seed: int) -> tuple[list[Share], DataFram
     for i, s in enumerate(shares):
         s.bounds = np.cumsum([leaf[i] for leaf in leaves]).tolist()
 
-    inside = _inside(slim, [(s.source, s.cut, s.end - 1, s.rest) for s in shares if s.rest], ", rest long")
+    inside = _inside(slim, [{"s": s.source, "lo": s.cut, "hi": s.end - 1, "rest": s.rest} for s in shares if s.rest], ",rest:bigint")
     units = inside.where("size > 0").groupBy("s", "rest", "u", "size").agg(F.count("*").alias("c"))
     lists = units.groupBy("s", "rest").agg(F.array_sort(F.collect_list(F.struct("u", F.col("size").alias("n"), "c"))).alias("units"))
     none = F.array().cast("array<struct<u:bigint,n:bigint,c:bigint,m:bigint>>")
@@ -207,9 +214,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, whole_rows: bool =
     shares, picks = plan(slim, shards, seed)
     picks = scratch.save(picks, "edges")
 
-    rows = [(x.source, (x.size, x.target, x.times, x.levels, x.blocks, x.bounds)) for x in shares]
-    plan_type = "size:long,target:double,times:long,levels:array<struct<lo:long,hi:long,bits:int,before:long>>,blocks:long,bounds:array<long>"
-    by = scratch.save(docs.sparkSession.createDataFrame(rows, f"s string, p struct<{plan_type}>"), "shares")
+    level = lambda v: dict(zip(("lo", "hi", "bits", "before"), v))
+    rows = [{"s": x.source, "p": {"size": x.size, "target": x.target, "times": x.times, "levels": [level(v) for v in x.levels], "blocks": x.blocks, "bounds": x.bounds}} for x in shares]
+    plan_type = "size:bigint,target:double,times:bigint,levels:array<struct<lo:bigint,hi:bigint,bits:int,before:bigint>>,blocks:bigint,bounds:array<bigint>"
+    by = scratch.save(_literal(docs.sparkSession, rows, f"s:string,p:struct<{plan_type}>"), "shares")
     by = _small(by, scratch).select(F.col("s").alias(s), F.col("p").alias(by_))
     all_ = sized if whole_rows else slim.select("doc_id", "source", F.col("size").alias(size), F.col("u").alias(u))
     all_ = all_.join(by, _same(F.col("source"), F.col(s))).drop(s)
@@ -234,8 +242,8 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, whole_rows: bool =
         whole = whole.unionByName(numbered)
     p, key = F.col(by_), F.col(u)
     rounds = F.when(p.times > 0, F.transform(F.sequence(F.lit(0).cast("long"), p.times - 1), lambda r: F.shiftleft(r, BITS) + F.shiftright(key, _KEY_BITS - BITS)))
-    level = F.filter(p.levels, lambda v: (v.lo <= key) & (key < v.hi))
-    last = F.transform(level, lambda v: v.before + F.call_function("shiftright", key - v.lo, v.bits))
+    found = F.filter(p.levels, lambda v: (v.lo <= key) & (key < v.hi))
+    last = F.transform(found, lambda v: v.before + F.call_function("shiftright", key - v.lo, v.bits))
     edge = F.when(F.col(rank) < picked.m, F.array(p.blocks - 1))
     nothing = F.array().cast("array<bigint>")
     blocks = F.when(F.col(size) > 0, F.concat(*(F.coalesce(b, nothing) for b in (rounds, last, edge)))).otherwise(nothing)

@@ -105,3 +105,13 @@ def test_query(spark, sf_dir):
     got = queries()["op3_mix"](spark, sf_dir).collect()
     check(rows, got)
     assert {s for r in got for s in r.shards} <= set(range(mixing.SHARDS))
+
+
+def test_literal(spark):
+    """Names with quotes, control characters and none come back as they are; no Python worker makes the rows."""
+    names = ['a"b', "c\\d", "e\n\t\x01f", "é\U0001f600", "", None]
+    rows = [{"s": n, "p": {"x": 2**62 - i, "y": 1 / 3 + i, "z": [i] * i}} for i, n in enumerate(names)]
+    made = mixing._literal(spark, rows, "s:string,p:struct<x:bigint,y:double,z:array<bigint>>")
+    assert [(r.s, r.p.x, r.p.y, r.p.z) for r in made.collect()] == [(r["s"], *r["p"].values()) for r in rows]
+    assert "ExistingRDD" not in made._jdf.queryExecution().toString()
+    assert mixing._literal(spark, [], "s:string").count() == 0
