@@ -20,47 +20,59 @@ from kvartal.scratch import Scratch
 NETWORK_ARCS = 20_000_000
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) of nodes (id) and edges (a, b): the least id reachable either way.
+def _least_labels(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) of nodes (id): the least id that edges lead to, each from a to b, the node's own included.
 
-    Labels jump: a node takes the least label around it, and then its label's own label, so
-    rounds grow with the logarithm of the longest chain, not its length.
+    Labels jump: a node takes the least label that it has an edge to, and then its label's
+    own label.
     """
-    scratch = Scratch(nodes.sparkSession, "weak")
-    both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = scratch.save(nodes.select("id", F.col("id").alias("component")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
+        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
         low = labels.join(near, labels.id == near.a, "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("low"))
         up = low.select(F.col("id").alias("_i"), F.col("low").alias("_l"))
         new = scratch.save(low.join(up, F.col("low") == F.col("_i"), "left").select("id", "was", F.least("low", F.coalesce("_l", "low")).alias("component")), "labels")
-        changed = new.where("was <> component").limit(1).count()
+        changed = not new.where("was <> component").isEmpty()
         scratch.drop(labels)
         labels = new
         if not changed:
             return labels.select("id", "component")
 
 
-def reachable(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) pairs of a small directed graph with a way from a to b, by squaring the step."""
-    cur = scratch.save(edges.select("a", "b").distinct(), "step")
-    n = cur.count()
-    while True:
-        nxt = cur.select(F.col("a"), F.col("b").alias("_m")).join(cur.select(F.col("a").alias("_m"), "b"), "_m").select("a", "b")
-        new = scratch.save(cur.union(nxt).distinct(), "step")
-        scratch.drop(cur)
-        cur, m = new, new.count()
-        if m == n:
-            return cur
-        n = m
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of nodes (id) and edges (a, b): the least id reachable either way.
+
+    As labels jump, rounds grow with the logarithm of the longest chain, not its length.
+    """
+    scratch = Scratch(nodes.sparkSession, "weak")
+    both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    return _least_labels(nodes, both, scratch)
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id that is reachable and reaches back."""
-    r = reachable(edges, Scratch(nodes.sparkSession, "strong"))
-    back = r.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    mutual = r.intersect(back).groupBy("a").agg(F.min("b").alias("m"))
-    return nodes.join(mutual, nodes.id == mutual.a, "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component"))
+    """(id, component): the least id that is reachable and reaches back.
+
+    Each node gets the least id that it reaches and the least that reaches it. Where these
+    are one, that is its component. Nodes of one component have both alike, so edges
+    between others go, and the rest is looked at again until no edge is left. What is held
+    is nodes and edges, never pairs with a way between them. Edges may have ends that are
+    not nodes; a way through them counts.
+    """
+    scratch = Scratch(nodes.sparkSession, "strong")
+    arcs = scratch.save(edges.where("a <> b").select("a", "b").distinct(), "arcs")
+    found = nodes.where(F.lit(False)).select(F.col("id").alias("fid"), F.col("id").alias("component"))
+    while not arcs.isEmpty():
+        ends = arcs.select(F.col("a").alias("id")).union(arcs.select("b")).distinct()
+        to = _least_labels(ends, arcs, scratch).select("id", F.col("component").alias("to"))
+        of = _least_labels(ends, arcs.select(F.col("b").alias("a"), F.col("a").alias("b")), scratch).select("id", F.col("component").alias("of"))
+        both = scratch.save(to.join(of, "id"), "both")
+        found = found.union(both.where("to = of").select("id", "to"))
+        left = both.where("to <> of")
+        tail, head = (left.select(F.col("id").alias(e), F.struct("to", "of").alias(f"of_{e}")) for e in ("a", "b"))
+        rest = scratch.save(arcs.join(tail, "a").join(head, "b").where("of_a = of_b").select("a", "b"), "arcs")
+        scratch.drop(arcs)
+        arcs = rest
+    return nodes.join(found, F.col("id") == F.col("fid"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def _network(arcs: DataFrame) -> dict[int, list[tuple[int, int]]]:

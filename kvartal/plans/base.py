@@ -10,6 +10,7 @@ from pyspark.sql import window as W
 
 from kvartal.functions.rounding import cents
 from kvartal.operators.grid import cell
+from kvartal.operators.quantiles import quantiles
 from kvartal.operators.rules import Rules
 from kvartal.operators.seq import prefix_sum
 from kvartal.plans.registry import query
@@ -160,10 +161,9 @@ def zone_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("quantile_report", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY l_returnflag")
 def quantile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact quantiles with linear interpolation, infinities left out."""
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    finite = F.abs("l_extendedprice") < float("inf")
-    out = read(spark, sf_dir, "lineitem").where(finite).groupBy("l_returnflag").agg(q.alias("q"))
-    return out.select("l_returnflag", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
+    finite = read(spark, sf_dir, "lineitem").where(F.abs("l_extendedprice") < float("inf"))
+    out = quantiles(finite, ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return out.select("l_returnflag", *(F.round(n, 4).alias(n) for n in ("p50", "p90", "p99")))
 
 
 @query("density_check", "SELECT c_nationkey, count(*) AS n, count(*) FILTER (c_acctbal > 0) AS positive, CASE WHEN count(*) FILTER (c_acctbal < -900) = 0 THEN NULL ELSE 100 * count(*) FILTER (c_acctbal > 0) // count(*) FILTER (c_acctbal < -900) END AS percent FROM customer GROUP BY c_nationkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kvartal.functions import geometry, rng, rounding, text
 from kvartal.operators import alloc, assign, events, graph, seq
+from kvartal.operators.quantiles import quantiles
 from kvartal.streaming import clock
 
 
@@ -141,3 +142,51 @@ def test_largest_remainder_against_one_ranking(spark):
             for i in sorted(exact, key=lambda i: (base[i] - exact[i], i))[: 1003 - sum(base.values())]:
                 base[i] += 1
             assert {i: got[i] for i in base} == base
+
+
+def _mutual(n, arcs):
+    """Least node that each reaches and is reached by, by walking from every node."""
+    out = {i: {b for a, b in arcs if a == i} for i in range(n)}
+    reach = {}
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        reach[i] = seen
+    return {i: min(j for j in reach[i] if i in reach[j]) for i in range(n)}
+
+
+@pytest.mark.parametrize("n, m, seed", [(40, 45, 1), (40, 90, 2), (12, 0, 3)])
+def test_strong_components_match_walks(spark, n, m, seed):
+    r = random.Random(seed)
+    arcs = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(3, 3)]
+    edges = spark.createDataFrame(arcs + arcs[:3], "a long, b long")
+    got = {x.id: x.component for x in graph.strong_components(spark.range(n), edges).collect()}
+    assert got == _mutual(n, arcs)
+
+
+def test_strong_components_of_a_long_way(spark):
+    ring = [(i, (i + 1) % 60) for i in range(60)]
+    way = [(i, i + 1) for i in range(60, 120)]
+    edges = spark.createDataFrame([*ring, (7, 60), *way], "a long, b long")
+    got = {x.id: x.component for x in graph.strong_components(spark.range(121), edges).collect()}
+    assert got == {i: 0 if i < 60 else i for i in range(121)}
+
+
+def test_quantiles_match_sorted_values(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, *map(float, range(30))])) for _ in range(700)] + [("one", 5.0), ("none", None)]
+    at = {"low": 0.0, "half": 0.5, "most": 0.97, "high": 1.0}
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {x.g: tuple(x)[1:] for x in quantiles(df, ["g"], "v", at).collect()}
+    want = {}
+    for g in {g for g, v in rows if v is not None}:
+        v = sorted(v for h, v in rows if h == g and v is not None)
+        p = [q * (len(v) - 1) for q in at.values()]
+        want[g] = tuple(v[int(x)] + (v[min(int(x) + 1, len(v) - 1)] - v[int(x)]) * (x - int(x)) for x in p)
+    assert set(got) == set(want)
+    for g in want:
+        assert got[g] == pytest.approx(want[g])
+    assert quantiles(df.where("false"), ["g"], "v", at).collect() == []
