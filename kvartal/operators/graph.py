@@ -49,6 +49,28 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _least_labels(nodes, both, scratch)
 
 
+def _both_ways(arcs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, to, of) of the ends of arcs (a, b): the least id that each reaches, and the least that reaches it.
+
+    Both are found in the same rounds, their labels jumping as above.
+    """
+    ends = arcs.select(F.col("a").alias("id")).union(arcs.select("b")).distinct()
+    labels = scratch.save(ends.select("id", F.col("id").alias("to"), F.col("id").alias("of")), "labels")
+    # who looks at whom: tails at heads for to, heads at tails for of
+    looks = scratch.save(arcs.select("a", "b", F.lit(True).alias("on")).union(arcs.select("b", "a", F.lit(False))), "looks")
+    while True:
+        seen = looks.join(labels, looks.b == labels.id)
+        near = seen.groupBy("a").agg(F.min(F.when(F.col("on"), F.col("to"))).alias("t"), F.min(F.when(~F.col("on"), F.col("of"))).alias("o"))
+        low = labels.join(near, labels.id == near.a).select("id", F.col("to").alias("was_to"), F.col("of").alias("was_of"), F.least("to", "t").alias("to"), F.least("of", "o").alias("of"))
+        by_to, by_of = (low.select(F.col("id").alias(f"_{c}"), F.col(c).alias(f"_{c}l")) for c in ("to", "of"))
+        jumped = low.join(by_to, F.col("to") == F.col("_to")).join(by_of, F.col("of") == F.col("_of"))
+        new = scratch.save(jumped.select("id", F.least("to", "_tol").alias("to"), F.least("of", "_ofl").alias("of"), "was_to", "was_of"), "labels")
+        scratch.drop(labels)
+        labels = new
+        if new.where("was_to <> to OR was_of <> of").isEmpty():
+            return labels.select("id", "to", "of")
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that is reachable and reaches back.
 
@@ -62,10 +84,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     arcs = scratch.save(edges.where("a <> b").select("a", "b").distinct(), "arcs")
     found = nodes.where(F.lit(False)).select(F.col("id").alias("fid"), F.col("id").alias("component"))
     while not arcs.isEmpty():
-        ends = arcs.select(F.col("a").alias("id")).union(arcs.select("b")).distinct()
-        to = _least_labels(ends, arcs, scratch).select("id", F.col("component").alias("to"))
-        of = _least_labels(ends, arcs.select(F.col("b").alias("a"), F.col("a").alias("b")), scratch).select("id", F.col("component").alias("of"))
-        both = scratch.save(to.join(of, "id"), "both")
+        both = _both_ways(arcs, scratch)
         found = found.union(both.where("to = of").select("id", "to"))
         left = both.where("to <> of")
         tail, head = (left.select(F.col("id").alias(e), F.struct("to", "of").alias(f"of_{e}")) for e in ("a", "b"))
