@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from kvartal.llm import decontaminate, embeddings, html, langid, linededup, mixing, pii, simhash, tokens, toxicity
+from kvartal.llm import annindex, decontaminate, divergence, embeddings, html, langid, linededup, mixing, negatives, pii, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    return annindex.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector's positives."""
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ, and in which terms."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -76,9 +91,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_pii": op9_pii,
         "op10_token_counts": op10_token_counts,
+        "op11_ann": op11_ann,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op4_embeddings": embeddings.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op4_embeddings": embeddings.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_source_divergence": divergence.ORACLE}
