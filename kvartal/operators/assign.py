@@ -6,7 +6,7 @@ import itertools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -115,6 +115,45 @@ def pair_platforms(members: DataFrame, order: list[str]) -> DataFrame:
     return rows.where("kind = 'stop'").select("route", F.col("id").alias("stop"), F.when(F.col("_k") == "platform", F.col("_i")).alias("platform"))
 
 
+def _one_place(a: str, b: str, near: float, near_same_name: float) -> Column:
+    """Are two members one place, by distance and name?"""
+    gap = {c: F.col(f"{a}.{c}") - F.col(f"{b}.{c}") for c in "xy"}
+    d2 = gap["x"] * gap["x"] + gap["y"] * gap["y"]
+    same = (F.col(f"{a}.name") != "") & (F.col(f"{a}.name") == F.col(f"{b}.name"))
+    return F.coalesce((d2 < near * near) | (same & (d2 < near_same_name * near_same_name)), F.lit(False))
+
+
+def _merge_lists(rows: DataFrame, near: float, near_same_name: float) -> DataFrame:
+    """(route, place, id, alias) of routes that list all of one kind before all of the other."""
+    at = F.row_number().over(W.Window.partitionBy("route", "kind").orderBy("no", "id"))
+    sizes = rows.groupBy("route").agg((F.count_if(F.col("kind") == "platform") > F.count_if(F.col("kind") == "stop")).alias("turned"))
+    sided = rows.withColumn("at", at).join(sizes, "route").withColumn("leads", (F.col("kind") == "stop") != F.col("turned"))
+    lead, rest = sided.where("leads").alias("l"), sided.where("NOT leads").alias("r")
+    # which of the leading list each of the other could join, in order
+    hits = rest.join(lead, F.col("l.route") == F.col("r.route")).where(_one_place("l", "r", near, near_same_name)).groupBy("r.route", "r.at").agg(F.array_sort(F.collect_list("l.at")).alias("hits"))
+    others = rest.select("route", "at", "id").join(hits, ["route", "at"], "left").groupBy("route").agg(F.array_sort(F.collect_list(F.struct("at", "id", "hits"))).alias("rest"))
+    # the first that is behind the last one joined: one fold over a route's list
+    kind = "array<struct<id:long,joined:int,last:int>>"
+
+    def step(s: Column, m: Column) -> Column:
+        hit = F.get(F.filter(m.hits, lambda k: k > s.last), F.lit(0))
+        last = F.coalesce(hit, s.last)
+        return F.struct(last.alias("last"), F.concat(s.out, F.array(F.struct(m.id.cast("long").alias("id"), hit.cast("int").alias("joined"), last.cast("int").alias("last")))).cast(kind).alias("out"))
+
+    start = F.struct(F.lit(0).alias("last"), F.array().cast(kind).alias("out"))
+    chosen = others.select("route", F.explode(F.aggregate("rest", start, step, lambda s: s.out)).alias("m")).select("route", "m.id", "m.joined", "m.last")
+    some = chosen.groupBy("route").agg(F.count_if(F.col("joined").isNotNull()).alias("pairs"))
+    aliases = chosen.where("joined IS NOT NULL").select("route", F.col("joined").alias("at"), F.col("id").alias("alias"))
+    base = sided.where("leads").join(aliases, ["route", "at"], "left").select("route", F.col("id").cast("long").alias("id"), "alias", F.col("at").alias("after"), F.lit(0).alias("own"), "no")
+    alone = rest.select("route", "no", "at", F.col("id").cast("long").alias("id")).join(chosen.where("joined IS NULL").select("route", "id", "last"), ["route", "id"])
+    alone = alone.select("route", "id", F.lit(None).cast("long").alias("alias"), F.col("last").alias("after"), F.col("at").alias("own"), "no")
+    both = base.unionByName(alone).join(some, "route")
+    # without a pair the order stays as it was
+    met = F.col("pairs") > 0
+    order = W.Window.partitionBy("route").orderBy(F.when(met, F.col("after")), F.when(met, F.col("own")), "no", "id")
+    return both.select("route", (F.row_number().over(order) - 1).cast("long").alias("place"), "id", "alias")
+
+
 def merge_stops(members: DataFrame, near: float, near_same_name: float) -> DataFrame:
     """(route, place, id, alias) of route members (route, no, kind, id, x, y, name): stops and platforms in route order.
 
@@ -134,33 +173,7 @@ def merge_stops(members: DataFrame, near: float, near_same_name: float) -> DataF
     lists = rows.join(shape, "route", "left_semi")
     walked = rows.join(shape, "route", "left_anti")
 
-    def close(a: dict, b: dict) -> bool:
-        d = ((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2) ** 0.5
-        return d < near or bool(a["name"]) and a["name"] == b["name"] and d < near_same_name
-
-    def parallel(pdf: pd.DataFrame) -> pd.DataFrame:
-        # a route's members are few
-        all_ = pdf.sort_values(["no", "id"]).to_dict("records")
-        stops, platforms = ([m for m in all_ if m["kind"] == k] for k in ("stop", "platform"))
-        base, other = (stops, platforms) if len(stops) >= len(platforms) else (platforms, stops)
-        behind, joined, follow = 0, {}, {0: []}
-        for m in other:
-            hits = [k for k in range(behind, len(base)) if close(base[k], m)]
-            if hits:
-                behind = hits[0] + 1
-                joined[behind] = m["id"]
-            else:
-                follow.setdefault(behind, []).append((m["id"], None))
-        out = [(m["id"], None) for m in all_]
-        if joined:
-            out = list(follow[0])
-            for k, m in enumerate(base, 1):
-                out += [(m["id"], joined.get(k)), *follow.get(k, [])]
-        return pd.DataFrame({"route": pdf["route"].iloc[0], "place": range(len(out)), "id": [i for i, _ in out], "alias": pd.array([a for _, a in out], dtype="Int64")})
-
-    kind = members.schema["route"].dataType.simpleString()
-    two = lists.groupBy("route").applyInPandas(parallel, f"route {kind}, place long, id long, alias long")
-
+    two = _merge_lists(lists, near, near_same_name)
     nxt = lambda c: F.lead(c).over(w)
     d2 = (F.col("x") - nxt("x")) * (F.col("x") - nxt("x")) + (F.col("y") - nxt("y")) * (F.col("y") - nxt("y"))
     same = (F.col("name") != "") & (F.col("name") == nxt("name"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from kvartal.operators.nearest import candidates
 from kvartal.scratch import Scratch
 
 
@@ -42,21 +43,14 @@ def nearest(a: DataFrame, b: DataFrame, radius: int, k: int = 1) -> DataFrame:
     return within(a, b, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a_id", "rank", "b_id", "d2")
 
 
-def nearest_any(a: DataFrame, b: DataFrame, first: int, most: int) -> DataFrame:
-    """(a_id, b_id, d2): the nearest b at any distance up to ``most``, by rings that grow fourfold.
-
-    A ring is only searched for points that found nothing nearer, so most rows meet few cells.
-    What a ring found is written before the next, which else would search it again.
-    """
+def nearest_any(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id, d2): the nearest b of each a at any distance, ties by least b_id."""
     scratch = Scratch(a.sparkSession, "nearest")
-    out, left, r = None, a, first
-    while True:
-        hit = scratch.save(nearest(left, b, r).select("a_id", "b_id", "d2"), "ring")
-        out = hit if out is None else out.unionByName(hit)
-        left = a.join(out.select("a_id"), "a_id", "left_anti")
-        if r >= most or left.isEmpty():
-            return out
-        r = min(4 * r, most)
+    points = a.select(F.col("ax").alias("x"), F.col("ay").alias("y"))
+    things = b.select("b_id", *(F.col("bx").alias(c) for c in ("x1", "x2", "rx")), *(F.col("by").alias(c) for c in ("y1", "y2", "ry")))
+    d2 = distance2(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))
+    best = candidates(points, things, scratch).groupBy("x", "y").agg(F.min(F.struct(d2.alias("d2"), "b_id")).alias("m"))
+    return a.join(best, (F.col("ax") == F.col("x")) & (F.col("ay") == F.col("y"))).select("a_id", "m.b_id", "m.d2")
 
 
 def inside(x: Column, y: Column, polygon: list[tuple[int, int]]) -> Column:

@@ -1,8 +1,10 @@
 """Joins of points with polygons and segments in whole centimetres, over a grid.
 
-A polygon is a ring: an array of (x, y) whose last corner joins the first. Each shape goes
-to the grid cells that its box touches and each point to its own, so that an equi-join on the
-cell finds the candidates and an exact test follows. A point on an edge is inside.
+A polygon is a ring: an array of (x, y) whose last corner joins the first. A shape goes to
+cells of a side that suits its size, at most four of them, and each point looks into its
+cell of every side in use: a shape of a house and one of a country both cost four rows. An
+equi-join on side and cell finds the candidates and an exact test follows. A point on an edge
+is inside. Rings become edges once, before they meet any point.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvartal.operators.grid import cell
+from kvartal.operators.nearest import bits, candidates
+from kvartal.scratch import Scratch
 
 
 def ring_of(*corners: tuple[Column, Column]) -> Column:
@@ -26,11 +30,24 @@ def _side(x: Column, y: Column, e: Column) -> Column:
     return (e.b.x - e.a.x) * (y - e.a.y) - (x - e.a.x) * (e.b.y - e.a.y)
 
 
+def _on(x: Column, y: Column, e: Column) -> Column:
+    return (_side(x, y, e) == 0) & x.between(F.least(e.a.x, e.b.x), F.greatest(e.a.x, e.b.x)) & y.between(F.least(e.a.y, e.b.y), F.greatest(e.a.y, e.b.y))
+
+
+def _crosses(x: Column, y: Column, e: Column) -> Column:
+    return ((e.a.y > y) != (e.b.y > y)) & ((_side(x, y, e) > 0) == (e.b.y > e.a.y))
+
+
+def inside_edges(x: Column, y: Column, edges_: Column) -> Column:
+    """Is a point between edges or on one? Exact for coordinates below 2**31."""
+    start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
+    step = lambda s, e: F.struct((s.odd != _crosses(x, y, e)).alias("odd"), (s.on | _on(x, y, e)).alias("on"))
+    return F.aggregate(edges_, start, step, lambda s: s.odd | s.on)
+
+
 def inside(x: Column, y: Column, ring: Column) -> Column:
     """Is a point in a ring or on its edge? Exact for coordinates below 2**31."""
-    on = lambda e: (_side(x, y, e) == 0) & x.between(F.least(e.a.x, e.b.x), F.greatest(e.a.x, e.b.x)) & y.between(F.least(e.a.y, e.b.y), F.greatest(e.a.y, e.b.y))
-    crosses = lambda e: ((e.a.y > y) != (e.b.y > y)) & ((_side(x, y, e) > 0) == (e.b.y > e.a.y))
-    return F.exists(edges(ring), on) | (F.size(F.filter(edges(ring), crosses)) % 2 == 1)
+    return inside_edges(x, y, edges(ring))
 
 
 def double_area(ring: Column) -> Column:
@@ -47,10 +64,10 @@ def segment_distance2(x: Column, y: Column, ax: Column, ay: Column, bx: Column,
     return F.when(along <= 0, d2(ax, ay)).when(along >= whole, d2(bx, by)).otherwise(side * side / whole)
 
 
-def ring_distance2(x: Column, y: Column, ring: Column) -> Column:
-    """Squared distance of a point to a polygon, 0 inside."""
-    each = F.transform(edges(ring), lambda e: segment_distance2(x, y, e.a.x, e.a.y, e.b.x, e.b.y))
-    return F.when(inside(x, y, ring), F.lit(0.0)).otherwise(F.array_min(each))
+def edges_distance2(x: Column, y: Column, edges_: Column) -> Column:
+    """Squared distance of a point to what edges enclose, 0 inside."""
+    each = F.transform(edges_, lambda e: segment_distance2(x, y, e.a.x, e.a.y, e.b.x, e.b.y))
+    return F.when(inside_edges(x, y, edges_), F.lit(0.0)).otherwise(F.array_min(each))
 
 
 def _spread(shapes: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column], size: int) -> DataFrame:
@@ -59,19 +76,34 @@ def _spread(shapes: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column
     return out.withColumn("_iy", F.explode(F.sequence(cell(y[0], size), cell(y[1], size))))
 
 
-def _box(ring: str, far: int) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
-    side = lambda k: (F.array_min(F.transform(ring, lambda c: c[k])) - far, F.array_max(F.transform(ring, lambda c: c[k])) + far)
-    return side("x"), side("y")
-
-
-def near_shapes(points: DataFrame, shapes: DataFrame, size: int, far: int = 0) -> DataFrame:
-    """Points (p_id, x, y) with the shapes (s_id, ring and more) at most ``far`` away: all columns and d2."""
-    spread = _spread(shapes, *_box("ring", far), size)
-    at = points.withColumns({"_ix": cell(F.col("x"), size), "_iy": cell(F.col("y"), size)})
-    both = at.join(spread, ["_ix", "_iy"]).drop("_ix", "_iy")
+def _boxed(shapes: DataFrame) -> DataFrame:
+    """Shapes with their box and their edges instead of the ring, computed once."""
+    side = lambda f, k: f(F.transform("ring", lambda c: c[k]))
+    box = {"x1": side(F.array_min, "x"), "y1": side(F.array_min, "y"), "x2": side(F.array_max, "x"), "y2": side(F.array_max, "y")}
+    return shapes.withColumns(box | {"_edges": edges(F.col("ring"))})
+
+
+def near_shapes(points: DataFrame, shapes: DataFrame, size: int, far: int = 0, by: list[str] | None = None) -> DataFrame:
+    """Points (p_id, x, y) with the shapes (s_id, ring and more) at most ``far`` away: all columns and d2.
+
+    ``size`` is the side of the least cells. Columns ``by``, which both have, are to be equal.
+    """
+    by = by or []
+    boxes = _boxed(shapes).withColumn("_side", F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + 2 * far)
+    boxes = boxes.withColumn("_level", bits(F.floor(F.col("_side") / size).cast("long")))
+    boxes = boxes.withColumn("_size", (F.lit(size) * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level"))).cast("long"))
+    side = lambda c, s: F.floor((c - F.pmod(c, s)) / s).cast("long")
+    spread = boxes.withColumn("_ix", F.explode(F.sequence(side(F.col("x1") - far, F.col("_size")), side(F.col("x2") + far, F.col("_size")))))
+    spread = spread.withColumn("_iy", F.explode(F.sequence(side(F.col("y1") - far, F.col("_size")), side(F.col("y2") + far, F.col("_size")))))
+    sizes = [r[0] for r in boxes.select("_size").distinct().collect()]  # at most one for each binary digit
+    at = points.withColumn("_size", F.explode(F.array(*(F.lit(s).cast("long") for s in sizes)) if sizes else F.array().cast("array<long>")))
+    at = at.withColumns({"_ix": side(F.col("x"), F.col("_size")), "_iy": side(F.col("y"), F.col("_size"))})
+    both = at.join(spread, [*by, "_size", "_ix", "_iy"]).drop("_size", "_ix", "_iy", "_level", "_side")
+    x, y = F.col("x"), F.col("y")
+    both = both.where(x.between(F.col("x1") - far, F.col("x2") + far) & y.between(F.col("y1") - far, F.col("y2") + far)).drop("x1", "y1", "x2", "y2")
     if far == 0:
-        return both.where(inside(F.col("x"), F.col("y"), F.col("ring"))).withColumn("d2", F.lit(0.0))
-    return both.withColumn("d2", ring_distance2(F.col("x"), F.col("y"), F.col("ring"))).where(F.col("d2") <= float(far) * far)
+        return both.where(inside_edges(x, y, F.col("_edges"))).withColumn("d2", F.lit(0.0)).drop("_edges")
+    return both.withColumn("d2", edges_distance2(x, y, F.col("_edges"))).where(F.col("d2") <= float(far) * far).drop("_edges")
 
 
 def smallest_around(points: DataFrame, shapes: DataFrame, size: int) -> DataFrame:
@@ -80,19 +112,30 @@ def smallest_around(points: DataFrame, shapes: DataFrame, size: int) -> DataFram
     return near_shapes(points, sized, size).groupBy("p_id").agg(F.min_by("s_id", F.struct("area", "s_id")).alias("s_id"))
 
 
-def nearest_shape(points: DataFrame, shapes: DataFrame, size: int, far: int) -> DataFrame:
-    """(p_id, s_id): the nearest shape within ``far``, then the one of least s_id."""
-    return near_shapes(points, shapes, size, far).groupBy("p_id").agg(F.min_by("s_id", F.struct("d2", "s_id")).alias("s_id"))
+def _least(points: DataFrame, found: DataFrame, id_: str) -> DataFrame:
+    """(p_id, id, d2) of each point from (x, y, id, d2): the least distance, then the least id."""
+    best = found.groupBy("x", "y").agg(F.min(F.struct("d2", id_)).alias("m")).select(F.col("x").alias("_x"), F.col("y").alias("_y"), f"m.{id_}", "m.d2")
+    return points.join(best, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select("p_id", id_, "d2")
+
+
+def nearest_shape(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(p_id, s_id, d2): the nearest shape at any distance, 0 inside, then the one of least s_id.
+
+    Points without a place have no row, nor has any point where there is no shape.
+    """
+    scratch = Scratch(points.sparkSession, "nearest")
+    boxes = _boxed(shapes.select("s_id", "ring")).withColumns({"rx": F.col("ring")[0].x, "ry": F.col("ring")[0].y}).drop("ring")
+    near = candidates(points, boxes, scratch).select("x", "y", "s_id", edges_distance2(F.col("x"), F.col("y"), F.col("_edges")).alias("d2"))
+    return _least(points, near, "s_id")
 
 
-def nearest_edge(points: DataFrame, segments: DataFrame, size: int, far: int) -> DataFrame:
-    """(p_id, e_id, d2): the nearest segment (e_id, ax, ay, bx, by) within ``far``, then the one of least e_id."""
-    a, b = (F.col("ax"), F.col("bx")), (F.col("ay"), F.col("by"))
-    spread = _spread(segments, (F.least(*a) - far, F.greatest(*a) + far), (F.least(*b) - far, F.greatest(*b) + far), size)
-    at = points.withColumns({"_ix": cell(F.col("x"), size), "_iy": cell(F.col("y"), size)})
+def nearest_edge(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """(p_id, e_id, d2): the nearest segment (e_id, ax, ay, bx, by) at any distance, then the one of least e_id."""
+    scratch = Scratch(points.sparkSession, "nearest")
+    ends = {"x1": F.least("ax", "bx"), "y1": F.least("ay", "by"), "x2": F.greatest("ax", "bx"), "y2": F.greatest("ay", "by"), "rx": F.col("ax"), "ry": F.col("ay")}
     d2 = segment_distance2(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    found = at.join(spread, ["_ix", "_iy"]).withColumn("d2", d2).where(F.col("d2") <= float(far) * far)
-    return found.groupBy("p_id").agg(F.min(F.struct("d2", "e_id")).alias("m")).select("p_id", F.col("m.e_id").alias("e_id"), F.col("m.d2").alias("d2"))
+    near = candidates(points, segments.select("e_id", "ax", "ay", "bx", "by").withColumns(ends), scratch).select("x", "y", "e_id", d2.alias("d2"))
+    return _least(points, near, "e_id")
 
 
 def crossings(ax: Column, ay: Column, bx: Column, by: Column, ring: Column) -> Column:

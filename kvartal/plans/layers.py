@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -20,7 +20,7 @@ def _case(col: str, values: dict, other: str = "NULL") -> str:
 
 
 _TAG = f"CASE k WHEN {' WHEN '.join(f'{i} THEN {v!r}' for i, v in enumerate(_VALUES))} END"
-_USE = "coalesce({}, CASE WHEN office <> 'no' THEN 'work' END, CASE WHEN shop <> 'no' THEN 'retail' END, 'other')"
+_USE = "coalesce({}, CASE WHEN office IS NOT NULL THEN 'work' END, CASE WHEN shop IS NOT NULL THEN 'retail' END, 'other')"
 
 
 @query(
@@ -34,35 +34,60 @@ def building_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(k.alias("id"), tags.use({"amenity": tag(11), "building": tag(13), "office": tag(17), "shop": tag(9)}).alias("use"))
 
 
-_HIGHWAY = ["motorway", "primary", "residential", "footway", "service", "trunk"]
-_HW = f"CASE p_partkey % 6 {' '.join(f'WHEN {i} THEN {v!r}' for i, v in enumerate(_HIGHWAY))} END"
+_WATER = ["river", "canal", "stream", "ditch", None]
+_RAIL = ["rail", "narrow_gauge", "tram", "light_rail", "monorail", "subway", None]
+_LAND = ["forest", "grass", "reservoir", "retail", "railway", "orchard", "residential", "cemetery", "village_green", "quarry", None]
+_NATURE = ["wood", "heath", "water", "cliff", None, None, None]
+_PLAY = ["park", "pitch", "garden", None, None, None, None, None]
+
+
+def _nth(values: list, k: str) -> str:
+    return f"CASE {k} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v) + " END"
+
+
+def _tag(values: list) -> Column:
+    return F.get(F.array(*(F.lit(v).cast("string") for v in values)), (F.col("p_partkey") % len(values)).cast("int"))
 
 
 @query(
     "line_classes",
-    f"""SELECT id, class, CASE WHEN bridge THEN greatest(1, least(5, layer)) ELSE 0 END AS level FROM (SELECT p_partkey AS id, p_size % 3 = 0 AS bridge, p_partkey % 15 - 7 AS raw,
+    f"""SELECT id, class, CASE WHEN bridge THEN greatest(1, least(5, layer)) ELSE 0 END AS level FROM (SELECT p_partkey AS id, p_size % 3 = 0 AS bridge,
     CAST(CASE WHEN p_partkey % 15 - 7 BETWEEN -5 AND 5 THEN p_partkey % 15 - 7 ELSE 0 END AS INTEGER) AS layer,
-    CASE WHEN p_partkey % 10 <> 0 AND p_partkey % 14 <> 0 THEN CASE WHEN {_HW} IN ('motorway', 'trunk') THEN 'major' WHEN {_HW} = 'primary' THEN 'middle' WHEN {_HW} IN ('residential', 'service') THEN 'minor' END END AS class FROM part) WHERE class IS NOT NULL""",
+    CASE WHEN p_partkey % 10 <> 0 THEN CASE WHEN water IN ('river', 'canal') THEN 'river' WHEN water = 'stream' THEN 'stream' WHEN rail = 'rail' AND p_partkey % 4 > 0 THEN 'rail_minor' WHEN rail = 'rail' THEN 'rail'
+    WHEN rail = 'narrow_gauge' THEN 'rail_minor' WHEN rail IN ('tram', 'light_rail', 'monorail') THEN 'tram' END END AS class
+    FROM (SELECT *, {_nth(_WATER, "p_partkey")} AS water, {_nth(_RAIL, "p_partkey")} AS rail FROM part)) WHERE class IS NOT NULL""",
 )
 def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawn lines with class and level: no tunnels, no areas."""
+    """Drawn lines with class and level: waters and rails, no tunnels."""
     k = F.col("p_partkey")
-    highway = F.get(F.array(*map(F.lit, _HIGHWAY)), (k % 6).cast("int"))
-    class_ = tags.line_class(highway, F.when(k % 10 == 0, "yes"), F.when(k % 14 == 0, "yes"))
+    class_ = tags.line_class({"waterway": _tag(_WATER), "railway": _tag(_RAIL), "service": F.when(k % 4 > 0, "yard").otherwise(""), "tunnel": F.when(k % 10 == 0, "culvert").when(k % 3 == 0, "no")})
     level = tags.bridge_level(tags.layer((k % 15 - 7).cast("string")), F.col("p_size") % 3 == 0)
     return read(spark, sf_dir, "part").select(k.alias("id"), class_.alias("class"), level.alias("level")).where("class IS NOT NULL")
 
 
+@query(
+    "area_classes",
+    f"""SELECT id, CASE WHEN nature = 'water' OR water = 'riverbank' OR land = 'reservoir' THEN 'water' WHEN land = 'forest' OR nature = 'wood' THEN 'forest' WHEN play IN ('park', 'garden') OR land = 'village_green' THEN 'park'
+    WHEN land = 'grass' OR nature = 'heath' THEN 'grass' WHEN land = 'cemetery' THEN 'cemetery' WHEN land = 'railway' THEN 'industrial' WHEN land = 'retail' THEN 'commercial' WHEN land = 'residential' THEN 'residential' WHEN land = 'orchard' THEN 'farmland' END AS class
+    FROM (SELECT p_partkey AS id, {_nth(_LAND, "p_partkey")} AS land, {_nth(_NATURE, "p_partkey")} AS nature, {_nth(_PLAY, "p_partkey")} AS play, CASE WHEN p_partkey % 13 = 0 THEN 'riverbank' END AS water FROM part)""",
+)
+def area_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of areas, null where none is drawn."""
+    k = F.col("p_partkey")
+    of = {"landuse": _tag(_LAND), "natural": _tag(_NATURE), "leisure": _tag(_PLAY), "waterway": F.when(k % 13 == 0, "riverbank")}
+    return read(spark, sf_dir, "part").select(k.alias("id"), tags.area_class(of).alias("class"))
+
+
 @query(
     "stop_kinds",
-    "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 8 = 0 THEN 'platform' WHEN s_suppkey % 3 = 1 OR s_suppkey % 8 = 1 THEN 'station' ELSE 'stop' END AS kind FROM supplier",
+    "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 1 OR s_suppkey % 8 = 3 THEN 'station' WHEN s_suppkey % 3 = 2 OR s_suppkey % 8 IN (1, 2, 4) THEN 'stop_position' ELSE 'platform' END AS kind FROM supplier",
 )
 def stop_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platforms, stations and stops."""
+    """Stations, stopping places and platforms."""
     k = F.col("s_suppkey")
     public = F.when(k % 3 == 0, "platform").when(k % 3 == 1, "station").otherwise("stop_position")
-    rail = F.when(k % 8 == 0, "platform").when(k % 8 == 1, "halt")
-    return read(spark, sf_dir, "supplier").select(k.alias("id"), tags.stop_kind(public, F.lit(None).cast("string"), rail).alias("kind"))
+    rail = F.get(F.array(*(F.lit(v).cast("string") for v in ("platform", "halt", "stop", "station", "tram_stop", None, None, None))), (k % 8).cast("int"))
+    return read(spark, sf_dir, "supplier").select(k.alias("id"), tags.stop_kind(public, rail).alias("kind"))
 
 
 @query(

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvartal.functions import walking
 from kvartal.operators import shapes
 from kvartal.operators.grid import cell
 from kvartal.plans.registry import query
 from kvartal.sources.tables import read
 
-SIZE, FAR, TOLERANCE = 1000, 1500, 50
+SIZE, TOLERANCE = 1000, 50
 
-_P = "p AS (SELECT c_custkey AS p_id, c_custkey * 7919 % 20011 AS x, c_custkey * 5003 % 19993 AS y FROM customer)"
-_S = "s AS (SELECT s_suppkey AS s_id, s_suppkey * 6007 % 20011 AS cx, s_suppkey * 9973 % 19993 AS cy, 300 + s_suppkey % 7 * 200 AS a, 200 + s_suppkey % 5 * 300 AS b FROM supplier)"
+#: The plane grows with the suppliers, so that each has as many neighbours at any scale.
+_SIDE = "(SELECT 640 * CAST(floor(sqrt(count(*))) AS BIGINT) + 211 AS side FROM supplier)"
+_P = f"p AS (SELECT c_custkey AS p_id, c_custkey * 7919 % side AS x, c_custkey * 5003 % (side - 18) AS y FROM customer, {_SIDE})"
+_S = f"s AS (SELECT s_suppkey AS s_id, s_suppkey * 6007 % side AS cx, s_suppkey * 9973 % (side - 18) AS cy, 300 + s_suppkey % 7 * 200 AS a, 200 + s_suppkey % 5 * 300 AS b FROM supplier, {_SIDE})"
 _IN = "abs(x - cx) * b + abs(y - cy) * a <= a * b"
 _E = "e AS (SELECT s_id AS e_id, cx AS ax, cy AS ay, cx + s_id % 11 * 150 - 750 AS bx, cy + s_id % 13 * 120 - 720 AS yb FROM s)"
 
@@ -30,22 +35,27 @@ _CORNERS = [("(cx - a)", "cy"), ("cx", "(cy - b)"), ("(cx + a)", "cy"), ("cx", "
 _DIST = f"CASE WHEN {_IN} THEN 0.0::DOUBLE ELSE least({', '.join(_seg(*p, *q) for p, q in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1]))}) END"
 
 
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Side of the plane."""
+    return 640 * math.isqrt(read(spark, sf_dir, "supplier").count()) + 211
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select(k.alias("p_id"), (k * 7919 % 20011).alias("x"), (k * 5003 % 19993).alias("y"), F.col("c_mktsegment").alias("kind"))
+    k, n = F.col("c_custkey"), side(spark, sf_dir)
+    return read(spark, sf_dir, "customer").select(k.alias("p_id"), (k * 7919 % n).alias("x"), (k * 5003 % (n - 18)).alias("y"), F.col("c_mktsegment").alias("kind"))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rhombic sites of all suppliers."""
-    k = F.col("s_suppkey")
-    at = read(spark, sf_dir, "supplier").select(k.alias("s_id"), (k * 6007 % 20011).alias("cx"), (k * 9973 % 19993).alias("cy"), (300 + k % 7 * 200).alias("a"), (200 + k % 5 * 300).alias("b"))
+    k, n = F.col("s_suppkey"), side(spark, sf_dir)
+    at = read(spark, sf_dir, "supplier").select(k.alias("s_id"), (k * 6007 % n).alias("cx"), (k * 9973 % (n - 18)).alias("cy"), (300 + k % 7 * 200).alias("a"), (200 + k % 5 * 300).alias("b"))
     cx, cy, a, b = (F.col(c) for c in ("cx", "cy", "a", "b"))
     return at.select("s_id", shapes.ring_of((cx - a, cy), (cx, cy - b), (cx + a, cy), (cx, cy + b)).alias("ring"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    at = read(spark, sf_dir, "supplier").select(k.alias("e_id"), (k * 6007 % 20011).alias("ax"), (k * 9973 % 19993).alias("ay"))
+    k, n = F.col("s_suppkey"), side(spark, sf_dir)
+    at = read(spark, sf_dir, "supplier").select(k.alias("e_id"), (k * 6007 % n).alias("ax"), (k * 9973 % (n - 18)).alias("ay"))
     return at.select("e_id", "ax", "ay", (F.col("ax") + F.col("e_id") % 11 * 150 - 750).alias("bx"), (F.col("ay") + F.col("e_id") % 13 * 120 - 720).alias("by"))
 
 
@@ -74,16 +84,16 @@ def zone_with_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.near_shapes(points(spark, sf_dir), sites(spark, sf_dir), SIZE, TOLERANCE).groupBy("p_id").agg(F.min("s_id").alias("s_id"))
 
 
-@query("nearest_zone", f"WITH {_P}, {_S} SELECT p_id, arg_min(s_id, (d2, s_id)) AS s_id FROM (SELECT p_id, s_id, {_DIST} AS d2 FROM p, s) WHERE d2 <= {float(FAR * FAR)} GROUP BY p_id")
+@query("nearest_zone", f"WITH {_P}, {_S} SELECT p_id, arg_min(s_id, (d2, s_id)) AS s_id FROM (SELECT p_id, s_id, {_DIST} AS d2 FROM p, s) GROUP BY p_id")
 def nearest_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest zone within reach of each point."""
-    return shapes.nearest_shape(points(spark, sf_dir), sites(spark, sf_dir), SIZE, FAR)
+    """The nearest zone of each point, however far."""
+    return shapes.nearest_shape(points(spark, sf_dir), sites(spark, sf_dir)).select("p_id", "s_id")
 
 
-@query("nearest_edge", f"WITH {_P}, {_S}, {_E} SELECT p_id, arg_min(e_id, (d2, e_id)) AS e_id, min(d2) AS d2 FROM (SELECT p_id, e_id, {_seg('ax', 'ay', 'bx', 'yb')} AS d2 FROM p, e) WHERE d2 <= {float(FAR * FAR)} GROUP BY p_id")
+@query("nearest_edge", f"WITH {_P}, {_S}, {_E} SELECT p_id, arg_min(e_id, (d2, e_id)) AS e_id, min(d2) AS d2 FROM (SELECT p_id, e_id, {_seg('ax', 'ay', 'bx', 'yb')} AS d2 FROM p, e) GROUP BY p_id")
 def nearest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest road edge within reach of each point."""
-    return shapes.nearest_edge(points(spark, sf_dir), segments(spark, sf_dir), SIZE, FAR)
+    """The nearest road edge of each point, however far."""
+    return shapes.nearest_edge(points(spark, sf_dir), segments(spark, sf_dir))
 
 
 @query(
@@ -210,7 +220,7 @@ def pick_under(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("p_id", d2.alias("d2")).where("d2 <= 2250000").orderBy("d2", "p_id").limit(8)
 
 
-@query("raster_join", "SELECT c_custkey AS p_id, v FROM (SELECT c_custkey, c_custkey * 7919 % 20011 // 500 AS col, c_custkey * 5003 % 19993 // 500 AS row FROM customer) LEFT JOIN (SELECT p_partkey % 41 AS col, p_partkey // 41 % 40 AS row, CAST(sum(p_size) AS BIGINT) AS v FROM part GROUP BY ALL) USING (col, row)")
+@query("raster_join", "SELECT c_custkey AS p_id, v FROM (SELECT c_custkey, c_custkey * 7919 % side // 500 AS col, c_custkey * 5003 % (side - 18) // 500 AS row FROM customer, (SELECT 640 * CAST(floor(sqrt(count(*))) AS BIGINT) + 211 AS side FROM supplier)) LEFT JOIN (SELECT p_partkey % 41 AS col, p_partkey // 41 % 40 AS row, CAST(sum(p_size) AS BIGINT) AS v FROM part GROUP BY ALL) USING (col, row)")
 def raster_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raster value of each point's cell; null where the raster has none."""
     k = F.col("p_partkey")
@@ -218,23 +228,24 @@ def raster_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("p_id", cell(F.col("x"), 500).alias("col"), cell(F.col("y"), 500).alias("row")).join(raster, ["col", "row"], "left").select("p_id", "v")
 
 
-_T = "t AS (SELECT s_suppkey AS id, s_suppkey * 6007 % 20011 AS x, s_suppkey * 9973 % 19993 AS y, s_suppkey % 40 AS area FROM supplier)"
+_T = f"t AS (SELECT s_suppkey AS id, s_suppkey * 6007 % side AS x, s_suppkey * 9973 % (side - 18) AS y, s_suppkey // 25 AS area FROM supplier, {_SIDE})"
 
 
 @query(
     "transfer_pairs",
-    f"""WITH {_T}, c AS (SELECT a.id AS a, b.id AS b, CAST(ceil(sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE))) AS BIGINT) AS w FROM t a JOIN t b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1000000
+    f"""WITH {_T}, c AS (SELECT a.id AS a, b.id AS b, greatest(1, CAST(floor(sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) / 10 * 1.3::DOUBLE / 1.2::DOUBLE + 30::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS w FROM t a JOIN t b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1000000
     UNION ALL SELECT a.id, b.id, 240 FROM t a JOIN t b ON a.area = b.area AND a.id <> b.id) SELECT a, b, min(w) AS walk FROM c GROUP BY a, b""",
 )
 def transfer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops between which one can change: near ones by distance, members of one area by its time, the lesser of both."""
     k = F.col("s_suppkey")
-    t = read(spark, sf_dir, "supplier").select(k.alias("id"), (k * 6007 % 20011).alias("x"), (k * 9973 % 19993).alias("y"), (k % 40).alias("area"))
+    n = side(spark, sf_dir)
+    t = read(spark, sf_dir, "supplier").select(k.alias("id"), (k * 6007 % n).alias("x"), (k * 9973 % (n - 18)).alias("y"), F.expr("s_suppkey div 25").alias("area"))
     spread = shapes._spread(t, (F.col("x") - 1000, F.col("x") + 1000), (F.col("y") - 1000, F.col("y") + 1000), 1000).alias("b")
     own = t.withColumns({"_ix": cell(F.col("x"), 1000), "_iy": cell(F.col("y"), 1000)}).alias("a")
     d2 = (F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")) + (F.col("a.y") - F.col("b.y")) * (F.col("a.y") - F.col("b.y"))
     near = own.join(spread, (F.col("a._ix") == F.col("b._ix")) & (F.col("a._iy") == F.col("b._iy")) & (F.col("a.id") != F.col("b.id"))).where(d2 <= 1_000_000)
-    near = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.ceil(F.sqrt(d2.cast("double"))).alias("walk"))
+    near = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), walking.transfer(F.sqrt(d2.cast("double")) / 10, 1.3, 1.2, 30).alias("walk"))
     one, two = t.alias("a"), t.alias("b")
     areas = one.join(two, (F.col("a.area") == F.col("b.area")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit(240).cast("long").alias("walk"))
     return near.unionByName(areas).groupBy("a", "b").agg(F.min("walk").alias("walk"))

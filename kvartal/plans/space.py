@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from kvartal.functions.rounding import cents
-from kvartal.operators import alloc, grid
+from kvartal.operators import alloc, forest, grid, rings, shapes
 from kvartal.plans.registry import query
 from kvartal.sources.tables import read
 
@@ -25,10 +27,10 @@ def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return a, b
 
 
-@query("nearest_one_tie", f"SELECT a_id, b_id, d2 FROM (SELECT a_id, b_id, d2, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS r FROM (SELECT a_id, b_id, (ax - bx) * (ax - bx) + (ay - yb) * (ay - yb) AS d2 FROM ({_SX}) CROSS JOIN ({_CX}))) WHERE r = 1 AND d2 <= 2000000::BIGINT * 2000000")
+@query("nearest_one_tie", f"SELECT a_id, b_id, d2 FROM (SELECT a_id, b_id, d2, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS r FROM (SELECT a_id, b_id, (ax - bx) * (ax - bx) + (ay - yb) * (ay - yb) AS d2 FROM ({_SX}) CROSS JOIN ({_CX}))) WHERE r = 1")
 def nearest_one_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of all, ties to the least id, by rings that double."""
-    return grid.nearest_any(*_points(spark, sf_dir), 20_000, 2_000_000)
+    """The nearest of all, ties to the least id."""
+    return grid.nearest_any(*_points(spark, sf_dir))
 
 
 @query("nearest_k_limit", f"SELECT a_id, CAST(r AS INTEGER) AS rank, b_id, d2 FROM (SELECT a_id, b_id, d2, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS r FROM (SELECT a_id, b_id, (ax - bx) * (ax - bx) + (ay - yb) * (ay - yb) AS d2 FROM ({_SX}) CROSS JOIN ({_CX})) WHERE d2 <= 25000::BIGINT * 25000) WHERE r <= 8")
@@ -87,24 +89,82 @@ def polygon_winding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", grid.inside(F.col("x"), F.col("y"), POLYGON).alias("inside"))
 
 
+_R = """r AS (SELECT p_partkey AS id, p_size % 4 AS kind, p_partkey * 7919 % side AS x, p_partkey * 5003 % side AS y, p_partkey % 3 > 0 AS area,
+    CAST(10 * [1, 3, 9, 27, 81][1 + p_partkey % 5] AS BIGINT) AS a, CAST(10 * [2, 5, 8, 30, 77][1 + p_partkey % 5] AS BIGINT) AS b, CASE WHEN p_partkey % 4 = 0 THEN p_name END AS name
+    FROM part, (SELECT 160 * CAST(floor(sqrt(count(*))) AS BIGINT) + 7 AS side FROM part)),
+    p AS (SELECT o.id, arg_max(c.id, (c.a * c.b, c.id)) AS parent FROM r o JOIN r c ON o.kind = c.kind AND c.area AND abs(o.x - c.x) * c.b + abs(o.y - c.y) * c.a <= c.a * c.b
+      AND (NOT o.area OR c.a * c.b > o.a * o.b OR c.a * c.b = o.a * o.b AND c.id > o.id) GROUP BY o.id),
+    w AS (SELECT id, id AS root FROM r UNION SELECT w.id, p.parent FROM w JOIN p ON w.root = p.id), f AS (SELECT id, root FROM w WHERE root NOT IN (SELECT id FROM p))"""
+
+
+def _facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of four kinds on a plane that grows with them: points, and rhombi from 10 to 810 wide."""
+    part = read(spark, sf_dir, "part")
+    side, k = 160 * math.isqrt(part.count()) + 7, F.col("p_partkey")
+    pick = lambda *v: (10 * F.get(F.array(*map(F.lit, v)), (k % 5).cast("int"))).cast("long")
+    at = part.select(k.alias("id"), (F.col("p_size") % 4).alias("kind"), (k * 7919 % side).alias("x"), (k * 5003 % side).alias("y"), (k % 3 > 0).alias("area"), pick(1, 3, 9, 27, 81).alias("a"), pick(2, 5, 8, 30, 77).alias("b"), F.when(k % 4 == 0, F.col("p_name")).alias("name"))
+    x, y, a, b = (F.col(c) for c in "xyab")
+    return at.select("id", "kind", "x", "y", F.when(F.col("area"), shapes.ring_of((x - a, y), (x, y - b), (x + a, y), (x, y + b))).alias("ring"), "name")
+
+
+@query("merge_contained", f"WITH RECURSIVE {_R} SELECT id, root FROM f")
+def merge_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records inside larger ones of their kind are these: points in buildings in sites, to the outermost."""
+    return forest.contain(_facilities(spark, sf_dir))
+
+
+@query("facilities_merged", f"WITH RECURSIVE {_R} SELECT root AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, coalesce(arg_min(name, (id <> root, id)) FILTER (name IS NOT NULL), '') AS name FROM f JOIN r USING (id) GROUP BY root")
+def facilities_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each outermost record with all ids that it stands for and the first name that any of them has."""
+    rows = _facilities(spark, sf_dir)
+    out = forest.merged(rows, forest.contain(rows))
+    return out.select("id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "name")
+
+
+_M = """o AS (SELECT l_orderkey AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS no, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+    g AS (SELECT r, no, n, CASE WHEN n >= 5 AND no > 2 THEN 3 ELSE 1 END AS first, CASE WHEN n >= 5 AND no <= 2 THEN 2 ELSE n END AS last FROM o),
+    s AS (SELECT r, no, r * 1024 + no * 37 % 1024 AS way, r * 1024 + no AS p, r * 1024 + CASE WHEN no = last THEN first ELSE no + 1 END AS q, no % 4 <> 3 AS outer_ FROM g WHERE r % 5 <> 0 OR no <> 2
+      UNION ALL SELECT 0, c_custkey, c_custkey * 7919 % 1000000007, c_custkey, CASE WHEN c_custkey = (SELECT max(c_custkey) FROM customer) THEN (SELECT min(c_custkey) FROM customer) ELSE c_custkey + 1 END, true FROM customer),
+    m AS (SELECT r AS relation, no, way, CASE WHEN (r + no) % 3 = 0 THEN q ELSE p END AS a, CASE WHEN (r + no) % 3 = 0 THEN p ELSE q END AS b, outer_ FROM s),
+    bad AS (SELECT DISTINCT relation FROM (SELECT relation, a AS x FROM m UNION ALL SELECT relation, b FROM m) GROUP BY relation, x HAVING count(*) <> 2),
+    k AS (SELECT * FROM m ANTI JOIN bad USING (relation)), e AS (SELECT relation, way, a AS x, b AS y, true AS forward FROM k UNION ALL SELECT relation, way, b, a, false FROM k),
+    w AS (SELECT relation, way AS ring, a AS home, 0::BIGINT AS no, way, true AS forward, b AS x FROM k
+      UNION ALL SELECT w.relation, w.ring, w.home, w.no + 1, e.way, e.forward, e.y FROM w JOIN e ON e.relation = w.relation AND e.x = w.x AND e.way <> w.way WHERE e.way > w.ring),
+    z AS (SELECT relation, ring, no, way, forward, arg_max(x, no) OVER (PARTITION BY relation, ring) = home AS closed FROM w)"""
+
+
+def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member ways: an order's lines go round in one or two rings, some broken, and all customers in one."""
+    by = W.Window.partitionBy("l_orderkey")
+    o = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("r"), F.row_number().over(by.orderBy("l_linenumber")).cast("long").alias("no"), F.count("*").over(by).alias("n"))
+    r, no, two = F.col("r"), F.col("no"), F.col("n") >= 5
+    first, last = F.when(two & (no > 2), 3).otherwise(1), F.when(two & (no <= 2), 2).otherwise(F.col("n"))
+    lines = o.where((r % 5 != 0) | (no != 2)).select("r", "no", (r * 1024 + no * 37 % 1024).alias("way"), (r * 1024 + no).alias("p"), (r * 1024 + F.when(no == last, first).otherwise(no + 1)).alias("q"), (no % 4 != 3).alias("outer_"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("no"))
+    ends = c.agg(F.min("no").alias("least"), F.max("no").alias("most"))
+    ring = c.join(F.broadcast(ends), F.col("no").between(F.col("least"), F.col("most")))
+    ring = ring.select(F.lit(0).cast("long").alias("r"), "no", (no * 7919 % 1000000007).alias("way"), no.alias("p"), F.when(no == F.col("most"), F.col("least")).otherwise(no + 1).alias("q"), F.lit(True).alias("outer_"))
+    turned = (r + no) % 3 == 0
+    all_ = lines.unionByName(ring)
+    return all_.select(r.alias("relation"), "no", "way", F.when(turned, F.col("q")).otherwise(F.col("p")).alias("a"), F.when(turned, F.col("p")).otherwise(F.col("q")).alias("b"), F.when(F.col("outer_"), "outer").otherwise("inner").alias("role"))
+
+
+@query("ring_order", f"WITH RECURSIVE {_M} SELECT relation, ring, no, way, forward FROM z WHERE closed")
+def ring_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed rings of member ways, in order from the least way on."""
+    return rings.assemble(_outlines(spark, sf_dir))
+
+
 @query(
-    "merge_contained",
-    """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_brand AS kind, CAST(p_size AS BIGINT) * 100 - p_partkey % 97 AS lo, CAST(p_size AS BIGINT) * 100 + (p_partkey * 7) % 97 AS hi FROM part),
-    up AS (SELECT a.id, arg_max(b.id, (b.hi - b.lo, -b.id)) AS parent FROM p a JOIN p b ON a.kind = b.kind AND b.lo <= a.lo AND a.hi <= b.hi AND (b.hi - b.lo > a.hi - a.lo) GROUP BY a.id),
-    w AS (SELECT id, id AS root FROM p UNION SELECT w.id, up.parent FROM w JOIN up ON w.root = up.id)
-    SELECT id, root FROM w WHERE root NOT IN (SELECT id FROM up)""",
+    "assembled_outlines",
+    f"WITH RECURSIVE {_M} SELECT 'r' || relation AS id FROM k UNION SELECT 'w' || way FROM m WHERE no % 2 = 1 AND NOT (outer_ AND relation IN (SELECT relation FROM k))",
 )
-def merge_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records inside a larger one of their kind are that one. The widest container is a root at once."""
-    k = F.col("p_partkey")
-    p = read(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("kind"), (F.col("p_size").cast("long") * 100 - k % 97).alias("lo"), (F.col("p_size").cast("long") * 100 + (k * 7) % 97).alias("hi"))
-    # intervals are at most 192 wide: those that can contain another share one of the cells that it touches
-    wide = p.select("*", F.explode(F.sequence(grid.cell(F.col("lo"), 256), grid.cell(F.col("hi"), 256))).alias("c"))
-    b = wide.select("kind", "c", F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    a = p.withColumn("c", grid.cell(F.col("lo"), 256))
-    inside = a.join(b, ["kind", "c"]).where("blo <= lo AND hi <= bhi AND bhi - blo > hi - lo")
-    up = inside.groupBy("id").agg(F.max_by("b", F.struct(F.col("bhi") - F.col("blo"), -F.col("b"))).alias("root"))
-    return p.select("id").join(up, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+def assembled_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings: relations that could be assembled, and marked ways that none of these replaces."""
+    members = _outlines(spark, sf_dir)
+    found = rings.assemble(members)
+    ways = members.where("no % 2 = 1").select("way").join(rings.replaced(members, found), "way", "left_anti")
+    return found.select(F.concat(F.lit("r"), "relation").alias("id")).union(ways.select(F.concat(F.lit("w"), "way"))).distinct()
 
 
 _NATIONS = "n AS (SELECT c_nationkey AS k, CAST(sum(greatest(CAST(round(c_acctbal * 100) AS BIGINT), 0)) AS BIGINT) AS w FROM customer GROUP BY c_nationkey)"
