@@ -45,6 +45,8 @@ BROADCAST_BYTES = 8 << 20
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object select datalist canvas".split())
+#: Elements that a slash in their tag closes.
+_FOREIGN = frozenset("svg math".split())
 _ASIDE = frozenset("nav footer aside form button menu dialog fieldset label legend head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 _INLINE = frozenset(
@@ -53,32 +55,88 @@ _INLINE = frozenset(
 #: Elements that an opening tag of the key closes if they are open.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|topbar|header|masthead|footer|sidebar|side-bar|aside|rail|ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|"
-    r"promo|promoted|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|"
-    r"comment|comments|commentlist|respond|discussion|disqus|reply|replies|share|sharing|social|related|recommended|recommendations|breadcrumb|breadcrumbs|pagination|pager|paging|"
-    r"toolbar|widget|widgets|search|searchbox|skip|skip-link|copyright|legal|disclaimer|outbrain|taboola|metadata-bar|tags|tagcloud)(?=$|[\s_-]|\d)",
-    re.I,
+#: What classes and ids call parts around an article, and parts that others wrote; as a whole, as the last word, or as the first before a plain word.
+_AROUND = frozenset(
+    "nav navbar navigation menu menus topbar header masthead footer sidebar aside rail banner cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe "
+    "subscription signup login share sharing social breadcrumb breadcrumbs pagination pager paging toolbar widget widgets search searchbox skip copyright tagcloud".split()
 )
-#: Headers of an article hold its title.
-_TITLES = re.compile(r"\b(?:article|post|entry|content|story|title)[_-]+header\b", re.I)
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|$)|<(?=[A-Za-z/])[^<]*$""", re.S)
+_OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion comment comments commentlist respond discussion disqus reply replies related recommended recommendations outbrain taboola".split()
+)
+#: Words that a name is plain before: sidebar-left, comment-list, share-buttons.
+_PLAIN = frozenset(
+    "area bar block body bottom box button buttons cell col column container content count cta form group head heading holder icon icons inner item items label left line link links list main message meta mobile module "
+    "number outer panel post posts article articles stories story primary right row secondary section slot space strip tab tabs text thread title toggle top unit widget wrap wrapper".split()
+)
+#: Words that say what an element is with or without, not what it is.
+_WITH = frozenset("with has no without is not non hide show js".split())
+_TITLE = frozenset("article post entry content story title".split())
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _aside(tag: str, attrs: dict[str, str], inside_main: bool) -> bool:
-    """Is an element set aside by its name: no part of an article?"""
+def _named(name: str) -> int:
+    """Of one class or id: 2 for comments, adverts and the like, 1 for other parts around an article, else 0."""
+    words = [w for w in re.split(r"[-_]+", name.lower()) if w]
+    if not words or words[0] in _WITH:
+        return 0
+    if words[-1] == "header" and words[0] in _TITLE:
+        return 0  # it holds the title
+    ends = [words[-1].rstrip("0123456789")] if len(words) == 1 else [words[-1]]
+    if len(words) > 1 and all(w in _PLAIN or w[:1].isdigit() for w in words[1:]):
+        ends.append(words[0])
+    return max(2 if w in _OTHERS else 1 if w in _AROUND else 0 for w in ends)
+
+
+def _aside(tag: str, attrs: dict[str, str], inside_main: bool) -> int:
+    """Does its tag, role or name set an element aside? As ``_named``."""
     if tag in _ASIDE or tag == "header" and not inside_main or attrs.get("role", "").lower() in _ROLES:
-        return True
+        return 1
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+        return 1
     if tag in ("html", "body", "main"):
-        return False
-    if tag == "article":  # classes of an article say what is around it, unless it is itself a comment or an advert
-        return not {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "sponsored", "related"}.isdisjoint(named.lower().split())
-    return bool(_NAMES.search(_TITLES.sub(" ", named)))
+        return 0
+    kind = max(map(_named, f"{attrs.get('class', '')} {attrs.get('id', '')}".split()), default=0)
+    # classes of an article say what is around it, unless it is itself a comment or an advert
+    return kind if tag != "article" or kind == 2 else 0
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of every tag, the name empty for comments and the like, in time linear in the page."""
+    at, n = 0, len(page)
+    last: dict[str, int] = {}  # quotes that do not come again
+    while (at := page.find("<", at)) >= 0:
+        found = _OPEN.match(page, at)
+        if found:
+            to = found.end()
+            while True:
+                stop = _STOP.search(page, to)
+                if not stop or stop.group() == ">":
+                    break
+                q = stop.group()
+                to = page.find(q, stop.end()) + 1 if q not in last else 0
+                if not to:  # a quote that nothing closes is a letter like any other
+                    last[q] = to = stop.end()
+            end = stop.end() if stop else n
+            yield at, end, found.group(1), found.group(2), page[found.end() : stop.start() if stop else n]
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at + 9) + 3
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+        elif page[at + 1 : at + 2] == "/" and page.find("<", at + 1) < 0:
+            end = n
+        else:
+            at += 1
+            continue
+        end = end if end > at else n
+        yield at, end, "", "", ""
+        at = end
 
 
 class Page:
@@ -92,10 +150,12 @@ class Page:
     def __init__(self, page: str):
         self.parent, self.tag, self.depth, self.path, self.aside, self.whole = [0], [""], [0], [0], [False], [0]
         self.blocks: list[tuple[int, str]] = []
-        self._stack: list[tuple[str, int, bool]] = []  # tag, innermost element, set aside
+        self._kind = [0]  # what an element's own name says
+        self._stack: list[tuple[str, int, bool]] = []  # tag, innermost element, set aside since that
         self._open: dict[str, list[int]] = {}  # places in the stack by tag
         self._text: list[str] = []
         self._read(page)
+        self._settle()
 
     def _flush(self) -> None:
         t = _SPACE.sub(" ", _html.unescape("".join(self._text))).strip()
@@ -119,12 +179,13 @@ class Page:
     def _enter(self, tag: str, written: str) -> None:
         attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(written)}
         up, off = (self._stack[-1][1], self._stack[-1][2]) if self._stack else (0, False)
-        off = off or _aside(tag, attrs, bool(self._open.get("article") or self._open.get("main")))
-        at = up
+        kind = _aside(tag, attrs, bool(self._open.get("article") or self._open.get("main"))) or int(off)
+        at, off = up, kind > 0
         if tag not in _INLINE:
             label = tag + "".join("." + c for c in attrs.get("class", "").lower().split()) + ("#" + attrs["id"].lower() if attrs.get("id") else "")
             at = len(self.path)
-            self.parent.append(up), self.tag.append(tag), self.depth.append(self.depth[up] + 1), self.aside.append(off)
+            self.parent.append(up), self.tag.append(tag), self.depth.append(self.depth[up] + 1), self._kind.append(kind)
+            off = False
             self.path.append(xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), self.path[up]) >> 1 or 1)
             self.whole.append(self.whole[up] or (self.path[-1] if tag in ("article", "main") else 0))
         self._open.setdefault(tag, []).append(len(self._stack))
@@ -132,14 +193,14 @@ class Page:
 
     def _read(self, page: str) -> None:
         at, n = 0, len(page)
-        for m in _TAG.finditer(page):
-            if m.start() < at:
+        for start, end, closing, name, written in _tags(page):
+            if start < at:
                 continue
-            self._text.append(page[at : m.start()])
-            at = m.end()
-            if not m.group(2):
+            self._text.append(page[at:start])
+            at = end
+            if not name:
                 continue
-            tag, closing = m.group(2).lower(), m.group(1)
+            tag = name.lower()
             if tag == "br":
                 self._text.append(" ")
                 continue
@@ -151,8 +212,9 @@ class Page:
                     self._flush()
                 continue
             if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n if m.group(3)[-1:] != "/" else at
+                if tag not in _FOREIGN or written[-1:] != "/":
+                    shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                    at = shut.end() if shut else n
                 continue
             if tag not in _INLINE:
                 # a block inside unclosed inline elements ends them with the paragraph that holds them
@@ -161,10 +223,41 @@ class Page:
                     i = self._find(_CLOSES[tag], ("ul", "ol", "dl", "table"))
                 self._close(i) if i >= 0 else self._flush()
             if tag not in _VOID:
-                self._enter(tag, m.group(3))
+                self._enter(tag, written)
         self._text.append(page[at:])
         self._flush()
 
+    def _settle(self) -> None:
+        """Which elements are set aside, and the blocks outside these.
+
+        Names are no proof: what holds the page's article, a form with most of the text, and what
+        holds most of it where nothing else is left, stay.
+        """
+        kind, size = self._kind, [0] * len(self.path)
+        for at, t in self.blocks:
+            size[at] += len(t)
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        worst: list[int] = []
+        for i, up in enumerate(self.parent):
+            worst.append(max(kind[i], worst[up] if i else 0))
+        whole = [i for i, tag in enumerate(self.tag) if tag in ("article", "main") and size[i] and worst[i] < 2]
+        if whole and all(worst[i] for i in whole):
+            at = max(whole, key=lambda i: (size[i], -i))
+            while at:
+                kind[at], at = 0, self.parent[at]
+        most = [i for i in range(1, len(size)) if kind[i] and 2 * size[i] > size[0]]
+        for i in most:
+            if self.tag[i] == "form":
+                kind[i] = 0
+        self.aside = self.within(lambda i: kind[i] > 0)
+        if self.blocks and all(self.aside[at] for at, _ in self.blocks):
+            for i in most:
+                if kind[i] == 1 and self.tag[i] not in ("nav", "menu"):
+                    kind[i] = 0
+            self.aside = self.within(lambda i: kind[i] > 0)
+        self.blocks = [(at, t) for at, t in self.blocks if not self.aside[at]]
+
     def within(self, true: Callable[[int], bool]) -> list[bool]:
         """For each element, is it or one around it such?"""
         out: list[bool] = []

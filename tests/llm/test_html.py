@@ -27,6 +27,42 @@ def test_blocks():
     assert text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_an_article_is_not_set_aside_by_what_is_around_it():
+    story = "<article><h1>T</h1><p>one two</p></article>"
+    for around in ("div class='layout with-sidebar'", "div class=has-sidebar", "form action=x", "div class='header'", "section id=sidebar", "aside", "div class='no-ads is-modal'"):
+        assert text(f"<body><nav>n</nav><{around}>{story}</{around.split()[0]}><footer>f</footer>") == "T\none two", around
+    assert text("<form><div class=story><p>long enough text of a page</p></div></form><p>x</p>") == "long enough text of a page\nx"
+    assert text("<div class=sidebar><p>all there is</p></div><nav>n</nav>") == "all there is" and text("<nav>n</nav>") == ""
+
+
+def test_names_count_whole_or_with_plain_words():
+    kept = ["modal-verbs", "search-engine", "notice-period", "legal", "tags", "with-sidebar", "adventure", "headers", "shared", "post-header", "social-history", "alert-fatigue"]
+    gone = ["sidebar", "sidebar-left", "site-footer", "main-menu", "comments", "comment-list", "cookie-banner", "ad", "ad1", "ad-300x250", "ad_slot", "related-posts", "share-buttons", "newsletter-box", "notice", "reader-comments"]
+    assert [x for x in kept if text(f"<article><p>a</p><div class='{x}'>b</div></article>") != "a\nb"] == []
+    assert [x for x in gone if text(f"<article><p>a</p><div class='x {x}'>b</div></article>") != "a"] == []
+
+
+def test_comments_stay_aside_whatever_holds_them():
+    long = "comment words " * 50
+    assert text(f"<article><p>story</p></article><div class=comments><article><p>{long}</p></article></div>") == "story"
+    assert text(f"<div class=story><p>story</p></div><ol class=comment-list><li><article class=comment-body><p>{long}</p></article></ol>") == "story"
+    assert text(f"<main><p>story</p></main><div class=related-posts><article><p>{long}</p></article></div>") == "story"
+
+
+def test_foreign_elements_and_quotes():
+    assert text("one<svg/>two<svg><text>no</text></svg>three<math/>four") == "onetwothreefour"
+    assert text("<p title=\"a>b\">one</p><p title='x\">two</p><p>three") == "one\ntwo\nthree"
+    assert text("a <!-- b > c --> d <![CDATA[ e ]]> f <?php > g </ h") == "a d f g"
+
+
+def test_bad_markup_takes_linear_time():
+    start = time.time()
+    for bad in ("<b ", "<b '", "<!-", "</", "<a b='", "< ", "<p class=x '\""):
+        for tail in ('"', "'", ">", "<", ""):
+            text("<p>x</p>" + bad * (300_000 // len(bad)) + tail)
+    assert time.time() - start < 60
+
+
 def test_template_finds_the_main_slot(spark):
     rows = []
     for i in range(12):
