@@ -19,7 +19,7 @@ from pyspark.sql import window as W
 from kvartal.scratch import Scratch
 
 #: Levels that a round goes down, and objects in a cell that need no further round.
-STEP, FEW = 2, 4
+STEP, FEW = 3, 8
 _SLACK = 1 + 1e-9
 
 
@@ -75,11 +75,11 @@ def candidates(points: DataFrame, objects: DataFrame, scratch: Scratch) -> DataF
 
     reach = lambda *cs: F.greatest(*(F.max(F.abs(F.col(c))) for c in cs))
     spans = [r[0] or 0 for r in (at.agg(reach("x", "y")).first(), things.agg(reach("rx", "ry")).first())]
-    level = max(spans).bit_length()
+    level = max(0, max(spans).bit_length() - STEP)
     pairs = None
     while True:
         p, s = _cells(at, level), _nodes(things, level)
-        if pairs is None:  # at most four cells and four of each size
+        if pairs is None:  # a few hundred cells, and as many of each size
             met = p.withColumn("k", F.lit(0)).join(s.withColumn("k", F.lit(0)), "k")
         else:
             up = pairs.select(*(F.col(c).alias(f"_{c}") for c in ("px", "py", "tree", "sx", "sy")))

@@ -157,7 +157,7 @@ def ring_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "assembled_outlines",
-    f"WITH RECURSIVE {_M} SELECT 'r' || relation AS id FROM k UNION SELECT 'w' || way FROM m WHERE no % 2 = 1 AND NOT (outer_ AND relation IN (SELECT relation FROM k))",
+    f"WITH RECURSIVE {_M} SELECT 'r' || relation AS id FROM k UNION SELECT 'w' || way FROM m WHERE no % 2 = 1 AND way NOT IN (SELECT m.way FROM m WHERE outer_ AND relation IN (SELECT relation FROM k))",
 )
 def assembled_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buildings: relations that could be assembled, and marked ways that none of these replaces."""
