@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from kvartal.plans import base, city, layers, moving, people, places, space, time  # noqa: F401
+from kvartal.plans import base, city, layers, moving, packages, people, places, space, time  # noqa: F401
