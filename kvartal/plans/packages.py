@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvartal.operators.cascade import cascade
 from kvartal.operators.crossrules import SHARES, city_rules
 from kvartal.plans.registry import query
+from kvartal.scratch import Scratch
 from kvartal.sources.tables import read
 
 _SHARE = {s: f"CASE WHEN c_custkey % 9 = 0 THEN CASE WHEN c_custkey % 45 = 0 THEN 1 ELSE 0 END ELSE CASE WHEN c_custkey % 9 = {i + 1} THEN 1255 + c_custkey % 50 ELSE 1250 + {i} END END" for i, s in enumerate(SHARES)}
@@ -75,3 +79,53 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def package_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each rule of a package is violated."""
     return city_rules(tables(spark, sf_dir)).report()
+
+
+_SIDE = "(SELECT 640 * CAST(floor(sqrt(count(*))) AS BIGINT) + 211 AS side FROM supplier)"
+_CELL, _ZONE = "x // 400 * 100000 + y // 400", "x // 1000 * 100000 + y // 1000"
+_HOMES = f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 31 > 0 THEN {_CELL} END AS cell, CASE WHEN c_custkey % 37 > 0 THEN {_ZONE} END AS zone,
+    CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 4 * 10 ELSE 0 END AS known, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 3 * 15 ELSE 0 END AS unknown
+    FROM (SELECT c_custkey, c_custkey * 7919 % side AS x, c_custkey * 5003 % (side - 18) AS y FROM customer, {_SIDE})"""
+_CELLS = f"""SELECT {_CELL} AS cell, CASE WHEN min(k) % 17 > 0 THEN min({_ZONE}) END AS zone, CAST(sum(k % 13 * 11) AS BIGINT) AS amount
+    FROM (SELECT p_partkey AS k, p_partkey * 6007 % side AS x, p_partkey * 9973 % (side + 4000) AS y FROM part, {_SIDE}) GROUP BY 1"""
+_ZONES = """SELECT zone, zone // 100000 // 3 * 1000 + zone % 100000 // 3 AS block, zone // 100000 * 1000 + 500 AS x, zone % 100000 * 1000 + 500 AS y, 1 + zone % 7 AS area
+    FROM (SELECT zone FROM b0 UNION SELECT zone FROM c0) WHERE zone IS NOT NULL"""
+_STAGED = (("cell", "known"), ("cell", "unknown"), ("zone", "known"), ("zone", "unknown"), ("block", "known"), ("block", "unknown"))
+
+
+def _cascade_sql() -> str:
+    parts = [f"b0 AS ({_HOMES}), c0 AS ({_CELLS}), z0 AS ({_ZONES})", "g0 AS (SELECT b0.*, block, 0::BIGINT AS got FROM b0 LEFT JOIN z0 USING (zone))", "p1 AS (SELECT cell, amount FROM c0)"]
+    for k, (key, area) in enumerate(_STAGED, 1):
+        parts.append(f"r{k} AS (SELECT *, CASE WHEN {area} > 0 THEN greatest(2 * {area} - got, 0) ELSE 0 END AS room FROM g{k - 1})")
+        parts.append(f"t{k} AS (SELECT {key}, sum(room) AS total FROM r{k} WHERE room > 0 GROUP BY {key})")
+        parts.append(f"s{k} AS (SELECT r.*, CAST(CASE WHEN amount > 0 AND total > 0 THEN least(amount, total) * room // total ELSE 0 END AS BIGINT) AS stage{k} FROM r{k} r LEFT JOIN p{k} USING ({key}) LEFT JOIN t{k} USING ({key}))")
+        parts.append(f"g{k} AS (SELECT * EXCLUDE (room, got), got + stage{k} AS got FROM s{k})")
+        parts.append(f"q{k} AS (SELECT p.{key}, amount - coalesce(gone, 0) AS amount FROM p{k} p LEFT JOIN (SELECT {key}, sum(stage{k}) AS gone FROM g{k} GROUP BY {key}) USING ({key}))")
+        wider = {2: "SELECT zone, sum(q2.amount) AS amount FROM q2 JOIN c0 USING (cell) WHERE zone IS NOT NULL GROUP BY zone", 4: "SELECT block, sum(amount) AS amount FROM q4 JOIN z0 USING (zone) GROUP BY block"}
+        parts.append(f"p{k + 1} AS ({wider.get(k, f'FROM q{k}')})")
+    for k in (7, 8):
+        w = "CASE WHEN block IS NULL THEN 0 ELSE known + unknown END"
+        parts.append(f"r{k} AS (SELECT *, {w} AS w, sum({w}) OVER (PARTITION BY block ORDER BY id) AS upto, sum({w}) OVER (PARTITION BY block) AS total FROM g{k - 1})")
+        parts.append(f"s{k} AS (SELECT r.*, CAST(CASE WHEN total > 0 AND amount IS NOT NULL THEN amount * upto // total - amount * (upto - w) // total ELSE 0 END AS BIGINT) AS stage{k} FROM r{k} r LEFT JOIN p{k} USING (block))")
+        parts.append(f"g{k} AS (SELECT * EXCLUDE (w, upto, total, got), got + stage{k} AS got FROM s{k})")
+        if k == 7:
+            parts.append("q7 AS (SELECT p.block, amount - coalesce(gone, 0) AS amount FROM p7 p LEFT JOIN (SELECT block, sum(stage7) AS gone FROM g7 GROUP BY block) USING (block) WHERE amount > coalesce(gone, 0))")
+            parts.append("m AS (SELECT block, sum(area * x) // sum(area) AS x, sum(area * y) // sum(area) AS y FROM z0 GROUP BY block), e AS (SELECT block FROM g7 WHERE block IS NOT NULL GROUP BY block HAVING sum(known + unknown) > 0)")
+            parts.append("p8 AS (SELECT block, sum(amount) AS amount FROM (SELECT (SELECT arg_min(e.block, ((h.x - m.x) * (h.x - m.x) + (h.y - m.y) * (h.y - m.y), e.block)) FROM e JOIN m h USING (block)) AS block, amount FROM q7 JOIN m USING (block)) GROUP BY block)")
+    return f"WITH {', '.join(parts)} SELECT id, {', '.join(f'stage{k}' for k in range(1, 9))}, got FROM g8"
+
+
+@query("population_cascade", _cascade_sql())
+def population_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residents of cells in buildings, by the stage that placed them."""
+    n = 640 * math.isqrt(read(spark, sf_dir, "supplier").count()) + 211
+    for name in ("customer", "part"):
+        read(spark, sf_dir, name).createOrReplaceTempView(f"_cascade_{name}")
+    plain = lambda sql: sql.replace("//", "div").replace(f", {_SIDE.replace('//', 'div')}", "").replace("side", str(n)).replace("FROM customer", "FROM _cascade_customer").replace("FROM part", "FROM _cascade_part")
+    scratch = Scratch(spark, "homes")
+    homes, cells = scratch.save(spark.sql(plain(_HOMES)), "homes"), scratch.save(spark.sql(plain(_CELLS)), "cells")
+    zone = F.col("zone")
+    ix, iy = F.expr("zone div 100000"), zone % 100000
+    zones = homes.select("zone").union(cells.select("zone")).where("zone IS NOT NULL").distinct()
+    zones = zones.select("zone", (F.floor(ix / 3) * 1000 + F.floor(iy / 3)).cast("long").alias("block"), (ix * 1000 + 500).alias("x"), (iy * 1000 + 500).alias("y"), (1 + zone % 7).alias("area"))
+    return cascade(homes, cells, zones, 2)[0]
