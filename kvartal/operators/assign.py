@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -62,28 +60,19 @@ def gravity(people: DataFrame, places: DataFrame, pull: DataFrame, seed: int, ro
 def compose(homes: DataFrame, seed: int) -> DataFrame:
     """(home, no, age, role) members of households (home, size): a head, mostly a partner, children younger by a generation.
 
-    The number of draws varies with what was drawn, so rows go through Arrow batches; each draw
-    still depends on (home, member, draw) only.
+    Every member has the words of two blocks, and the head one, by (home, member, block) only, so
+    what is drawn is columns; which words count depends on what others say.
     """
     key = rng.stream_key(seed, rng.POPULATION)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for h, size in zip(b["home"], b["size"]):
-                draw = lambda no, k, n: rng.philox_ints(key, (int(h), no, k, 4))[0] * n >> 32
-                head = 22 + draw(0, 0, 60)
-                rows.append((h, 0, head, "head"))
-                for no in range(1, size):
-                    if no == 1 and draw(1, 0, 4) < 3:
-                        rows.append((h, 1, max(18, head - 5 + draw(1, 1, 11)), "partner"))
-                    elif head < 65 and draw(no, 2, 5) < 4:
-                        rows.append((h, no, max(0, min(head - 18, draw(no, 3, 24))), "child"))
-                    else:
-                        rows.append((h, no, 18 + draw(no, 4, 70), "other"))
-            yield pd.DataFrame(rows, columns=["home", "no", "age", "role"])
-
-    return homes.select("home", "size").mapInPandas(run, "home long, no long, age long, role string")
+    rows = homes.where("size > 0").select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size").cast("long") - 1)).alias("no"))
+    rows = rng.philox(rows, key, [F.col("home"), F.lit(0), F.lit(0), F.lit(4)], ["h0", "h1", "h2", "h3"])
+    rows = rng.philox(rows, key, [F.col("home"), F.col("no"), F.lit(1), F.lit(4)], ["a0", "a1", "a2", "a3"])
+    rows = rng.philox(rows, key, [F.col("home"), F.col("no"), F.lit(2), F.lit(4)], ["b0", "b1", "b2", "b3"])
+    draw = lambda word, n: rng.scaled(F.col(word), n)
+    head, no = 22 + draw("h0", 60), F.col("no")
+    role = F.when(no == 0, "head").when((no == 1) & (draw("a0", 4) < 3), "partner").when((head < 65) & (draw("a2", 5) < 4), "child").otherwise("other")
+    age = F.when(F.col("role") == "head", head).when(F.col("role") == "partner", F.greatest(F.lit(18), head - 5 + draw("a1", 11))).when(F.col("role") == "child", F.greatest(F.lit(0), F.least(head - 18, draw("a3", 24)))).otherwise(18 + draw("b0", 70))
+    return rows.withColumn("role", role).select("home", "no", age.alias("age"), "role")
 
 
 def calibrate(have: DataFrame, want: DataFrame, rounds: int = 8) -> DataFrame:
