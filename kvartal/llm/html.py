@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -71,12 +72,15 @@ _PLAIN = frozenset(
 #: Words that say what an element is with or without, not what it is.
 _WITH = frozenset("with has no without is not non hide show js".split())
 _TITLE = frozenset("article post entry content story title".split())
+#: A tag as most are, without another bracket inside: what does not match is read step by step.
+_PLAINLY = re.compile(r"""<(/?)([A-Za-z][^\s/><]*)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>""")
 _OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _STOP = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(1 << 16)
 def _named(name: str) -> int:
     """Of one class or id: 2 for comments, adverts and the like, 1 for other parts around an article, else 0."""
     words = [w for w in re.split(r"[-_]+", name.lower()) if w]
@@ -94,6 +98,8 @@ def _aside(tag: str, attrs: dict[str, str], inside_main: bool) -> int:
     """Does its tag, role or name set an element aside? As ``_named``."""
     if tag in _ASIDE or tag == "header" and not inside_main or attrs.get("role", "").lower() in _ROLES:
         return 1
+    if not attrs:
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return 1
     if tag in ("html", "body", "main"):
@@ -108,6 +114,11 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
     at, n = 0, len(page)
     last: dict[str, int] = {}  # quotes that do not come again
     while (at := page.find("<", at)) >= 0:
+        plain = _PLAINLY.match(page, at)
+        if plain:
+            yield at, plain.end(), *plain.groups()
+            at = plain.end()
+            continue
         found = _OPEN.match(page, at)
         if found:
             to = found.end()
@@ -177,7 +188,7 @@ class Page:
         return -1 if any(self._open.get(n) and self._open[n][-1] > last for n in stop) else last
 
     def _enter(self, tag: str, written: str) -> None:
-        attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(written)}
+        attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(written)} if "=" in written or "hidden" in written.lower() else {}
         up, off = (self._stack[-1][1], self._stack[-1][2]) if self._stack else (0, False)
         kind = _aside(tag, attrs, bool(self._open.get("article") or self._open.get("main"))) or int(off)
         at, off = up, kind > 0
