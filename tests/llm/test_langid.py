@@ -60,3 +60,49 @@ def test_held_out_accuracy(spark, sf_dir):
     d = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = [r for r in queries()["op5_language_id"](spark, sf_dir).collect() if r.held_out]
     assert sum(r.lang_pred == d[r.doc_id] for r in got) >= 0.95 * len(got)
+
+
+def _grams(text):
+    """Codes of the 1- to 3-grams of a text's letters, a run of others being one gap; written out for one place after another."""
+    places, out = [0], []
+    for c in text.lower():
+        if c.isalpha():
+            places.append(ord(c))
+        elif places[-1]:
+            places.append(0)
+    if places[-1]:
+        places.append(0)
+    for k in (1, 2, 3):
+        for i in range(len(places) - k + 1):
+            part = places[i : i + k]
+            if any(part) and (k < 3 or part[1]):
+                code = 0
+                for p in part:
+                    code = code << 21 | p
+                out.append(code)
+    return out
+
+
+def test_query_against_profiles_made_by_hand(spark, sf_dir):
+    import zlib
+    from collections import Counter, defaultdict
+
+    from kvartal.llm.queries import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    out = {d.doc_id: zlib.crc32(str(d.doc_id).encode()) % 4 == 2 for d in docs}
+    counts, own = defaultdict(Counter), {}
+    for d in docs:
+        own[d.doc_id] = Counter(_grams(d.text or ""))
+        if not out[d.doc_id] and d.lang is not None and d.text is not None:
+            counts[d.lang].update(own[d.doc_id])
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE]]
+    profiles = {lang: {g: r for r, g in enumerate(top(c))} for lang, c in sorted(counts.items()) if c}
+    for r in queries()["op5_language_id"](spark, sf_dir).collect():
+        mine = top(own[r.doc_id])
+        if not mine:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        far = sorted((sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(mine)), lang) for lang, p in profiles.items())
+        assert r.lang_pred == far[0][1] and r.held_out == out[r.doc_id]
+        assert abs(r.score - (far[1][0] - far[0][0]) / far[1][0]) < 1e-12
