@@ -3,18 +3,21 @@
 He et al., "Drain: An Online Log Parsing Approach with Fixed Depth Tree" (2017), as a batch:
 a line goes down a tree of fixed depth, first by its number of tokens, then by its LEAD
 leading tokens; tokens with a digit are variable fields. In a leaf, two templates link if
-they agree in at least SIMILAR of their positions, a field agreeing with anything, and hold
-the same fixed token in at least half of them. Linked ones become one template, whose
+they share a run of positions (below), agree in at least SIMILAR of their positions, a field
+agreeing with anything, and hold the same fixed token in at least half of them. The run is
+part of the rule: without it a field at the end of five tokens would link all of a leaf. Linked ones become one template, whose
 differing positions are fields too, until none of a leaf joins another. A template found
 in several documents recurs: its lines are dropped from all documents but the first, which
 keeps what is said once. Lines of fewer than LEAST_TOKENS tokens, and lines most of whose
 tokens hold digits (rows of numbers), are not generalised: only equal ones recur.
 
 Distribution: at d differing positions at most, two lines agree in one of d + 1 runs of
-positions. Each line is sent to its d + 1 runs, compared with the least line of each, and
-joins the least that it links to. So work follows the lines however many share a run, and
-templates do not depend on how lines are dealt to tasks. Texts are read once to take lines apart; from there on a line is a hash,
-and a token 32 bits of one.
+positions, so templates are compared if they share a run (in which a field equals a field
+alone), and each joins the least that it links to. Each is compared with the least of its
+runs first, in joins; what that one refuses is compared with all others of the run in
+tiles of two blocks, so that a run of any size is spread over tasks and none of its links
+is missed. Templates do not depend on how lines are dealt to tasks. Texts are read once to
+take lines apart; from there on a line is a hash, and a token 32 bits of one.
 """
 
 from __future__ import annotations
@@ -35,8 +38,11 @@ LEAD = 3
 SIMILAR = 0.8
 #: Lines of fewer tokens are not generalised.
 LEAST_TOKENS = 5
-#: Bytes of a saved table up to which it is broadcast; beyond, the join shuffles.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of a saved table up to which it may be broadcast, and bytes in memory of all that one
+#: call of the operator broadcasts; beyond, joins shuffle.
+BROADCAST_BYTES, BROADCAST_SUM = 8 << 20, 64 << 20
+#: Lines and tokens of a block of a run; a tile compares two blocks.
+BLOCK, BLOCK_TOKENS = 512, 1 << 18
 #: Lines of one Arrow batch, and distinct tokens whose hashes a task remembers.
 BATCH, MEMO = 1 << 11, 1 << 15
 
@@ -103,8 +109,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out()
 
 
-def _small(df: DataFrame, scratch: Scratch) -> DataFrame:
-    return F.broadcast(df) if scratch.size(df) <= BROADCAST_BYTES else df
+class _Scratch(Scratch):
+    """Saved tables, and the bytes broadcast so far."""
+
+    sent = 0
+
+
+def _small(df: DataFrame, scratch: _Scratch) -> DataFrame:
+    """``df``, to be broadcast if its rows in memory fit beside what was broadcast before."""
+    if scratch.size(df) > BROADCAST_BYTES:
+        return df
+    items = [F.coalesce(F.sum(F.size(f.name)), F.lit(0)) for f in df.schema if f.dataType.typeName() == "array"]
+    rows, *held = df.agg(F.count("*"), *items).first()
+    need = rows * (32 + 16 * len(df.columns)) + 4 * sum(held)  # fields and key of a row in a hashed relation
+    if scratch.sent + need > BROADCAST_SUM:
+        return df
+    scratch.sent += need
+    return F.broadcast(df)
 
 
 def _linked(a: Column, b: Column) -> Column:
@@ -124,21 +145,102 @@ def _runs() -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), d), lambda i: F.xxhash64("leaf", i, F.slice("tokens", start(i) + 1, start(i + 1) - start(i))))
 
 
-def templates(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+def _compare(rows: np.ndarray, ids: np.ndarray, refused: np.ndarray, others: np.ndarray, other_ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(index of a refused row, least lesser id that it links to); ``other_ids`` ascend."""
+    n = rows.shape[1]
+    free = others == 0
+    for i in np.flatnonzero(refused):
+        m = int(np.searchsorted(other_ids, ids[i]))
+        if m:
+            a = rows[i]
+            same = others[:m] == a
+            fixed = (same & (a != 0)).sum(axis=1)
+            agree = (same | (a == 0) | free[:m]).sum(axis=1)
+            ok = (agree >= n * SIMILAR - 1e-9) & (2 * fixed >= n)
+            at = int(ok.argmax())
+            if ok[at]:
+                yield int(i), int(other_ids[at])
+
+
+_KEY = ("run", "lo", "hi")
+
+
+def _tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(leaf, id, to) of one tile's rows, which ascend by id."""
+    t = pa.Table.from_batches(parts).combine_chunks()
+    leaf, ids, block, refused = (t.column(c).to_numpy() for c in ("leaf", "id", "block", "refused"))
+    tokens = pa.concat_arrays([p.column("tokens").flatten() for p in parts]).to_numpy().reshape(len(ids), -1)
+    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    out: list[tuple[int, int]] = []
+    for a, b in [(lo, hi), (hi, lo)] if lo != hi else [(lo, lo)]:
+        mine, other = np.flatnonzero(block == a), np.flatnonzero(block == b)
+        out += [(int(mine[i]), to) for i, to in _compare(tokens[mine], ids[mine], refused[mine], tokens[other], ids[other])]
+    at = np.array([i for i, _ in out], dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(leaf[at]), pa.array(ids[at]), pa.array([to for _, to in out], pa.int64())], names=["leaf", "id", "to"])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by tile and id -> links of each tile; one tile is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(c).to_numpy() for c in _KEY]
+        cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+            key = tuple(k[i] for k in keys)
+            if held and key != last:
+                yield _tile(held)
+                held = []
+            last = key
+            held.append(b.slice(i, j - i))
+    if held:
+        yield _tile(held)
+
+
+def _refused(near: DataFrame, pairs: DataFrame, links: DataFrame, cur: DataFrame, scratch: _Scratch) -> DataFrame | None:
+    """(leaf, id, to) links of templates that the least of a run refuses to others of the run; None if there are none to compare."""
+    told = links.select("id", "to", F.lit(False).alias("refused"))
+    pairs = pairs.join(told, ["id", "to"], "left").select("id", "to", F.coalesce("refused", F.lit(True)).alias("refused"))
+    pairs = scratch.save(pairs, "told")
+    heads = scratch.save(pairs.where("refused").select("to").distinct(), "refusing")
+    if heads.isEmpty():
+        return None
+    open_ = near.join(_small(heads, scratch), "to", "left_semi").join(pairs, ["id", "to"])
+    members = scratch.save(open_.select("run", "to", "id", "size", "refused"), "members")
+    sums = members.groupBy("run", "to").agg(
+        F.count("*").alias("n"), F.max("size").alias("size"), F.max("refused").alias("any"), F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("sig")
+    )
+    # runs of one head and the same lines are compared once
+    runs = sums.where("any and n > 1").groupBy("to", "n", "size", "first", "last", "sig").agg(F.min("run").alias("run"))
+    lines = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_TOKENS) / F.col("size"))))
+    runs = scratch.save(runs.select("run", F.ceil(F.col("n") / lines).alias("k")), "open")
+    dealt = members.join(_small(runs, scratch), "run").select("run", "id", "refused", "k", F.pmod(F.xxhash64("id", F.lit(7)), "k").alias("block"))
+    dealt = dealt.select("run", "id", "refused", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("x"))
+    dealt = dealt.select("run", F.least("block", "x").alias("lo"), F.greatest("block", "x").alias("hi"), "id", "refused", "block")
+    rows = dealt.join(cur, "id").select(*_KEY, "leaf", "id", "refused", "block", "tokens")
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "id").mapInArrow(_tiles, "leaf long, id long, to long")
+
+
+def templates(distinct: DataFrame, scratch: _Scratch) -> DataFrame:
     """(leaf, line, tokens) distinct lines -> (line, template) of those that end in the template of another line.
 
     A template is named by the least of its lines.
     """
     cur, of = distinct.withColumnRenamed("line", "id"), None
     while True:
-        runs = cur.select("id", F.explode(_runs()).alias("run"))
+        runs = cur.select("id", F.size("tokens").alias("size"), F.explode(_runs()).alias("run"))
         least = runs.groupBy("run").agg(F.min("id").alias("to"), F.max("id").alias("last")).where("to != last").select("run", "to")
         # written first: beside a fresh aggregate the lines of a run that very many share could not be split
         least = scratch.save(least, "runs")
-        pairs = runs.join(_small(least, scratch), "run").where("id != to").select("id", "to").distinct()
+        near = scratch.save(runs.join(_small(least, scratch), "run").where("id != to").select("run", "id", "to", "size"), "near")
         # tokens come to pairs, not to runs: a long line has as many runs as a fifth of its tokens
-        pairs = scratch.save(pairs, "pairs")
+        pairs = scratch.save(near.select("id", "to").distinct(), "pairs")
         links = pairs.join(cur, "id").join(cur.select(F.col("id").alias("to"), F.col("tokens").alias("with")), "to").where(_linked(F.col("tokens"), F.col("with")))
+        links = scratch.save(links.select("leaf", "id", "to"), "heads")
+        others = _refused(near, pairs, links, cur, scratch)
+        links = links if others is None else links.union(others)
         # each joins the least that it links to; lesser ones may join others in turn
         joined = scratch.save(links.groupBy("leaf", "id").agg(F.min("to").alias("to")), "links")
         if joined.isEmpty():
@@ -162,7 +264,7 @@ def templates(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return of if of is not None else scratch.save(distinct.select("line", F.col("line").alias("template")).limit(0), "templates")
 
 
-def _roots(joined: DataFrame, scratch: Scratch) -> DataFrame:
+def _roots(joined: DataFrame, scratch: _Scratch) -> DataFrame:
     """(leaf, id, to) with a lesser ``to`` each -> the same, each with the end of its chain."""
     while True:
         up = _small(joined, scratch).select(F.col("id").alias("via"), F.col("to").alias("end"))
@@ -172,7 +274,7 @@ def _roots(joined: DataFrame, scratch: Scratch) -> DataFrame:
         joined = scratch.save(jump.drop("moved"), "roots")
 
 
-def recurring(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def recurring(docs: DataFrame, scratch: _Scratch) -> DataFrame:
     """(doc_id, h, drop) the line numbers to drop of every document that has some."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
@@ -206,7 +308,7 @@ def line_dedup(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped"
     equal in doc_id and text are one document and are treated alike. No rows: no rows.
     Columns of the two ``names`` are replaced; all others come through, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch = _Scratch(docs.sparkSession, "lines")
     keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     d, h, drop, own = fresh([*docs.columns, *names], "d", "h", "drop", "own")
     gone = _small(recurring(docs, scratch), scratch)  # where little is dropped no text moves
