@@ -23,6 +23,7 @@ take lines apart; from there on a line is a hash, and a token 32 bits of one.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ class _Tokens(dict):
     def __missing__(self, token: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        h = self[token] = 0 if _digit(token) else xxhash.xxh32_intdigest(token) or 1
+        h = self[token] = 0 if not token.isalpha() and _digit(token) else xxhash.xxh32_intdigest(token) or 1
         return h
 
 
@@ -66,7 +67,7 @@ def parse(raw: bytes, known: dict[bytes, int]) -> tuple[int, int, list[int] | No
     if not n:
         return None
     if n >= LEAST_TOKENS:
-        tokens = [known[w] for w in words]
+        tokens = list(map(known.__getitem__, words))
         fields = tokens.count(0)
         if 2 * fields <= n:
             if fields:
@@ -81,7 +82,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, h, text) -> (doc_id, h, no, leaf, line, tokens) of every line that is not blank."""
     known = _Tokens()
     for b in batches:
-        at, nos, leaves, lines, flat, sizes = [], [], [], [], [], []
+        at, nos, leaves, lines, sizes = [], [], [], [], []
+        flat = array("I")
 
         def out() -> pa.RecordBatch:
             of = b.select(["doc_id", "h"]).take(pa.array(at, pa.int64()))
@@ -92,7 +94,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
             cols = [pa.array(nos, pa.int32()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (leaves, lines)), tokens]
             for x in (at, nos, leaves, lines, flat, sizes):
-                x.clear()
+                del x[:]
             return pa.RecordBatch.from_arrays([*of.columns, *cols], names=["doc_id", "h", "no", "leaf", "line", "tokens"])
 
         for row, t in enumerate(b.column("text")):
@@ -286,6 +288,8 @@ def recurring(docs: DataFrame, scratch: _Scratch) -> DataFrame:
     several = general.join(_small(many, scratch), "leaf", "left_semi").groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens"))
     of = templates(scratch.save(several, "several"), scratch)
     known = lines.select("doc_id", "h", "no", "line").join(_small(of, scratch), "line", "left").select("doc_id", "h", "no", F.coalesce("template", "line").alias("template"))
+    known = scratch.save(known, "known")
+    scratch.drop(lines)  # with their tokens they take as much disk as the texts
     # which templates several documents have is told by hashes; only their lines are looked at again
     who = F.xxhash64("doc_id", "h")
     shared = known.groupBy("template").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo != hi").select("template")
@@ -311,8 +315,8 @@ def line_dedup(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped"
     scratch = _Scratch(docs.sparkSession, "lines")
     keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     d, h, drop, own = fresh([*docs.columns, *names], "d", "h", "drop", "own")
-    gone = _small(recurring(docs, scratch), scratch)  # where little is dropped no text moves
-    gone = gone.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("drop").alias(drop))
+    # one plan at any size: what is dropped grows with the texts, and texts are not sorted
+    gone = recurring(docs, scratch).select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("drop").alias(drop)).hint("shuffle_hash")
     rows = docs.select(*keep, F.xxhash64("text").alias(own)).join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)), "left")
     all_ = F.split("text", "\n", -1)
     # one sort of the line numbers, so that long texts take no longer a line than short ones
@@ -320,5 +324,6 @@ def line_dedup(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped"
     marks = F.sort_array(F.concat(F.transform(left, lambda i: F.struct(i.alias("i"), F.lit(True).alias("k"))), F.transform(drop, lambda i: F.struct(i.alias("i"), F.lit(False).alias("k")))))
     kept = F.array_join(F.array_compact(F.zip_with(all_, marks, lambda x, m: F.when(m.k, x))), "\n")
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1)
     return rows.select(*(text.alias(c) if c.lower() == "text" else F.col(c) for c in keep), n.cast("long").alias(names[0]), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(names[1]))

@@ -230,3 +230,16 @@ def test_query_drops_short_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.text, r.n_dropped) for r in queries()["op6_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("mine\nPage 5\n\n版权所有不得转载2021", 1), 3: ("", 2), 4: ("<*>\n17", 0), 5: ("18", 0)}
+
+
+def test_texts_move_alike_at_any_size_and_tokens_go_before(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("kvartal.scratch.shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = [(i, f"line of its own, number {chr(97 + i)}\nall of them have this one") for i in range(9)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert not list(tmp_path.glob("*/*-lines")) and list(tmp_path.glob("*/*-drop"))
+        assert sorted((r.doc_id, r.n_dropped) for r in got.collect()) == [(0, 0)] + [(i, 2) for i in range(1, 9)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
