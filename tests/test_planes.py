@@ -15,6 +15,7 @@ _PAIRS = """p AS (SELECT c_custkey AS p_id, c_custkey * 7919 % 20011 AS x, c_cus
     n AS (SELECT p_id, s_id, a * b AS area FROM p, s WHERE abs(x - cx) * b + abs(y - cy) * a <= a * b)"""
 _WANT = {
     "points_in_sites": "SELECT p_id, s_id FROM n",
+    "smallest_site": "SELECT p_id, arg_min(s_id, (area, s_id)) AS s_id FROM n GROUP BY p_id",
 }
 
 
