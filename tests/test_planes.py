@@ -16,6 +16,7 @@ _PAIRS = """p AS (SELECT c_custkey AS p_id, c_custkey * 7919 % 20011 AS x, c_cus
 _WANT = {
     "points_in_sites": "SELECT p_id, s_id FROM n",
     "smallest_site": "SELECT p_id, arg_min(s_id, (area, s_id)) AS s_id FROM n GROUP BY p_id",
+    "facility_buildings": "SELECT s_id, count(*), string_agg(CAST(p_id AS VARCHAR), ',' ORDER BY p_id) FROM (SELECT s_id, p_id FROM n UNION SELECT s_suppkey, s_suppkey * 3 FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY s_id",
 }
 
 
