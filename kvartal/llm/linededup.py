@@ -17,7 +17,8 @@ alone), and each joins the least that it links to. Each is compared with the lea
 runs first, in joins; what that one refuses is compared with all others of the run in
 tiles of two blocks, so that a run of any size is spread over tasks and none of its links
 is missed. Templates do not depend on how lines are dealt to tasks. Texts are read once to
-take lines apart; from there on a line is a hash, and a token 32 bits of one.
+take lines apart; from there on a line is a hash. Only lines of leaves of several are taken
+apart into tokens, 32 bits of a hash each: most lines are alone in their leaf.
 """
 
 from __future__ import annotations
@@ -44,10 +45,11 @@ LEAST_TOKENS = 5
 BROADCAST_BYTES, BROADCAST_SUM = 8 << 20, 64 << 20
 #: Lines and tokens of a block of a run; a tile compares two blocks.
 BLOCK, BLOCK_TOKENS = 512, 1 << 18
-#: Lines of one Arrow batch, and distinct tokens whose hashes a task remembers.
-BATCH, MEMO = 1 << 11, 1 << 15
+#: Lines of one Arrow batch, its bytes a line, and distinct tokens whose hashes a task remembers.
+BATCH, WIDTH, MEMO = 1 << 11, 1 << 8, 1 << 15
 
 _digit = re.compile(rb"[0-9]").search
+_nines = bytes.maketrans(b"012345678", b"999999999")
 
 
 class _Tokens(dict):
@@ -60,57 +62,87 @@ class _Tokens(dict):
         return h
 
 
-def parse(raw: bytes, known: dict[bytes, int]) -> tuple[int, int, list[int] | None] | None:
-    """(leaf, line, tokens) of a line; no tokens if it is not generalised, None if it is blank."""
+def place(raw: bytes) -> tuple[int, int, bool] | None:
+    """(leaf, line, is it generalised?) of a line, None if it is blank."""
     words = raw.split()  # bytes: ASCII space only
     n = len(words)
     if not n:
         return None
     if n >= LEAST_TOKENS:
-        tokens = list(map(known.__getitem__, words))
-        fields = tokens.count(0)
+        fields = 0
+        if _digit(raw):
+            field = [b"9" in w for w in raw.translate(_nines).split()]
+            fields = sum(field)
         if 2 * fields <= n:
             if fields:
-                words = [w if t else b"\0" for w, t in zip(words, tokens)]
+                words = [b"\0" if f else w for w, f in zip(words, field)]
             lead = xxhash.xxh64_intdigest(b"%d " % n + b" ".join(words[:LEAD]))
-            return lead, xxhash.xxh64_intdigest(b" ".join(words)), tokens
+            return lead, xxhash.xxh64_intdigest(b" ".join(words)), True
     line = xxhash.xxh64_intdigest(b" ".join(words), 1)
-    return line, line, None
+    return line, line, False
+
+
+def parse(raw: bytes, known: dict[bytes, int]) -> tuple[int, int, list[int] | None] | None:
+    """(leaf, line, tokens) of a line; no tokens if it is not generalised, None if it is blank."""
+    at = place(raw)
+    return at and (at[0], at[1], list(map(known.__getitem__, raw.split())) if at[2] else None)
+
+
+def _signed(hashes: list[int]) -> pa.Array:
+    return pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, text) -> (doc_id, h, no, leaf, line, tokens) of every line that is not blank."""
-    known = _Tokens()
+    """(doc_id, h, text) -> (doc_id, h, no, leaf, line, raw) of every line that is not blank; raw is null if it is not generalised."""
     for b in batches:
-        at, nos, leaves, lines, sizes = [], [], [], [], []
-        flat = array("I")
+        at, nos, leaves, lines, raws = [], [], [], [], []
+        held = 0
 
         def out() -> pa.RecordBatch:
             of = b.select(["doc_id", "h"]).take(pa.array(at, pa.int64()))
-            size = np.array(sizes, dtype=np.int64)
-            ends = np.cumsum(np.maximum(size, 0))
-            tokens = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], ends)), pa.int32(), mask=np.append(size < 0, False)), pa.array(np.array(flat, dtype=np.uint32).view(np.int32))
-            )
-            cols = [pa.array(nos, pa.int32()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (leaves, lines)), tokens]
-            for x in (at, nos, leaves, lines, flat, sizes):
-                del x[:]
-            return pa.RecordBatch.from_arrays([*of.columns, *cols], names=["doc_id", "h", "no", "leaf", "line", "tokens"])
+            cols = [pa.array(nos, pa.int32()), _signed(leaves), _signed(lines), pa.array(raws, pa.binary())]
+            for x in (at, nos, leaves, lines, raws):
+                x.clear()
+            return pa.RecordBatch.from_arrays([*of.columns, *cols], names=["doc_id", "h", "no", "leaf", "line", "raw"])
 
         for row, t in enumerate(b.column("text")):
-            raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-            for no, x in enumerate(raw.split(b"\n")):
-                got = parse(x, known)
+            text = t.as_buffer().to_pybytes() if t.is_valid else b""
+            for no, x in enumerate(text.split(b"\n")):
+                got = place(x)
                 if got is not None:
                     at.append(row), nos.append(no), leaves.append(got[0]), lines.append(got[1])
-                    sizes.append(-1 if got[2] is None else len(got[2]))
-                    flat.extend(got[2] or ())
-                    if len(at) >= BATCH or len(flat) >= 64 * BATCH:
+                    raws.append(x if got[2] else None)
+                    held += len(x)
+                    if len(at) >= BATCH or held >= WIDTH * BATCH:
                         yield out()
+                        held = 0
         if at:
             yield out()
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leaf, line, raw) of generalised lines -> (leaf, line, tokens)."""
+    known = _Tokens()
+    for b in batches:
+        start = 0
+        flat, sizes = array("I"), []
+
+        def out() -> pa.RecordBatch:
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.array(sizes, dtype=np.int64)))), pa.int32())
+            tokens = pa.ListArray.from_arrays(ends, pa.array(np.array(flat, dtype=np.uint32).view(np.int32)))
+            return pa.RecordBatch.from_arrays([*b.select(["leaf", "line"]).slice(start, len(sizes)).columns, tokens], names=["leaf", "line", "tokens"])
+
+        for x in b.column("raw"):
+            tokens = parse(x.as_buffer().to_pybytes(), known)[2]
+            flat.extend(tokens), sizes.append(len(tokens))
+            if len(sizes) >= BATCH or len(flat) >= 64 * BATCH:
+                yield out()
+                start += len(sizes)
+                del flat[:], sizes[:]
+        if sizes:
+            yield out()
+
+
 class _Scratch(Scratch):
     """Saved tables, and the bytes broadcast so far."""
 
@@ -280,16 +312,17 @@ def recurring(docs: DataFrame, scratch: _Scratch) -> DataFrame:
     """(doc_id, h, drop) the line numbers to drop of every document that has some."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    lines = scratch.save(rows.mapInArrow(_lines, f"doc_id {kind}, h long, no int, leaf long, line long, tokens array<int>"), "lines")
+    lines = scratch.save(rows.mapInArrow(_lines, f"doc_id {kind}, h long, no int, leaf long, line long, raw binary"), "lines")
     # only leaves of several lines need their tokens compared
-    general = lines.where(F.col("tokens").isNotNull())
+    general = lines.where(F.col("raw").isNotNull())
     many = general.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo != hi").select("leaf")
     many = scratch.save(many, "leaves")
-    several = general.join(_small(many, scratch), "leaf", "left_semi").groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens"))
+    several = general.join(_small(many, scratch), "leaf", "left_semi").groupBy("leaf", "line").agg(F.any_value("raw").alias("raw"))
+    several = several.mapInArrow(_tokens, "leaf long, line long, tokens array<int>")
     of = templates(scratch.save(several, "several"), scratch)
     known = lines.select("doc_id", "h", "no", "line").join(_small(of, scratch), "line", "left").select("doc_id", "h", "no", F.coalesce("template", "line").alias("template"))
     known = scratch.save(known, "known")
-    scratch.drop(lines)  # with their tokens they take as much disk as the texts
+    scratch.drop(lines)  # they take as much disk as the texts
     # which templates several documents have is told by hashes; only their lines are looked at again
     who = F.xxhash64("doc_id", "h")
     shared = known.groupBy("template").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo != hi").select("template")

@@ -243,3 +243,43 @@ def test_texts_move_alike_at_any_size_and_tokens_go_before(spark, monkeypatch, t
         assert sorted((r.doc_id, r.n_dropped) for r in got.collect()) == [(0, 0)] + [(i, 2) for i in range(1, 9)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_token_is_hashed_before_its_leaf_is_known(spark, monkeypatch):
+    """Most lines are alone in their leaf: their tokens are neither hashed nor saved."""
+    import pyarrow as pa
+
+    texts = [f"{chr(97 + i)} line of its own, number {i}\nall of these have {chr(97 + i)} and the rest in common here" for i in range(9)] + [None, "", "short\n\n7 8 9 10 11 12"]
+    with monkeypatch.context() as m:
+        m.setattr(linededup.xxhash, "xxh32_intdigest", lambda token: pytest.fail("a token is hashed"))
+        out = pa.Table.from_batches(linededup._lines(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(12)), "h": list(range(12)), "text": texts})])))
+    assert out.num_rows == 20 and not any(pa.types.is_list(t) for t in out.schema.types)
+    known, signed = linededup._Tokens(), lambda x: int(np.uint64(x).view(np.int64))
+    for r in out.to_pylist():
+        leaf, line, tokens = linededup.parse(texts[r["doc_id"]].split("\n")[r["no"]].encode(), known)
+        assert (signed(leaf), signed(line), tokens is None) == (r["leaf"], r["line"], r["raw"] is None)
+    saved = {}
+    save = linededup._Scratch.save
+    monkeypatch.setattr(linededup._Scratch, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)) if name == "several" else save(self, df, name))
+    got = check(spark, [(i, t) for i, t in enumerate(texts)])
+    assert saved["several"].count() == 9 and sum(r.n_dropped for r in got.values()) == 8
+
+
+def test_place_of_a_line():
+    """Leaf and line as told by every token alone, with odd white space, digits of other scripts and NUL."""
+    rng = np.random.default_rng(5)
+    letters = [b"a", b"B", b"0", b"9", b"4", b" ", b"\t", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\0", " ".encode(), "٤".encode(), "й".encode()]
+    digest, seen = linededup.xxhash.xxh64_intdigest, set()
+    for _ in range(3000):
+        raw = b"".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(0, 40)))
+        words = raw.split()
+        field = [any(48 <= c <= 57 for c in w) for w in words]
+        general = len(words) >= linededup.LEAST_TOKENS and 2 * sum(field) <= len(words)
+        masked = [b"\0" if f else w for w, f in zip(words, field)] if general else words
+        line = digest(b" ".join(masked)) if general else digest(b" ".join(words), 1)
+        leaf = digest(b"%d " % len(words) + b" ".join(masked[: linededup.LEAD])) if general else line
+        assert linededup.place(raw) == ((leaf, line, general) if words else None)
+        tokens = (linededup.parse(raw, linededup._Tokens()) or (0, 0, None))[2]
+        assert (tokens is not None) == general and (not general or [t == 0 for t in tokens] == field)
+        seen.add((general, any(field)))
+    assert len(seen) == 4
