@@ -66,7 +66,9 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     z = read(spark, sf_dir, "nation").join(r, F.col("zone") == F.col("n_nationkey"), "left")
     z = z.selectExpr("n_nationkey AS row", "n_nationkey % 5 AS ix", "0 AS iy", "coalesce(r, 0) + CASE WHEN n_nationkey = 7 THEN 1 ELSE 0 END AS residents")
     n = c.selectExpr("c_custkey AS row", "CASE WHEN c_custkey % 50 = 49 THEN 0 ELSE c_custkey * 3 END AS osm_id", "c_custkey * 37 % 1009 AS x_cm", "c_custkey * 41 % 2003 AS y_cm")
-    o = read(spark, sf_dir, "orders").selectExpr(*_ARC.split(", "), "false AS bridge", "false AS tunnel")
+    # the SQL's cast takes a price to the nearest whole number, Spark's cuts it off
+    arc = _ARC.replace("CAST(o_totalprice AS BIGINT)", "CAST(rint(o_totalprice) AS BIGINT)")
+    o = read(spark, sf_dir, "orders").selectExpr(*arc.split(", "), "false AS bridge", "false AS tunnel")
     one = o.selectExpr("tail AS source", "head AS to", "way_id", "way_part", "0 AS reverse", "2 * way_id AS by_edge", "length_cm", "car", "pedestrian", "layer", "bridge", "tunnel", "2 * way_id AS row")
     two = o.where("way_id % 300 <> 8").selectExpr(
         "CASE WHEN way_id % 400 = 3 THEN tail ELSE head END AS source", "tail AS to", "way_id", "way_part", "1 AS reverse", "2 * way_id + CASE WHEN way_id % 500 = 9 THEN 0 ELSE 1 END AS by_edge", "length_cm", "car", "pedestrian",

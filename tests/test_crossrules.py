@@ -1,8 +1,10 @@
 """Every rule holds for a sound package, and tells a fault planted in it."""
 
+import duckdb
 import pytest
 
-from kvartal.operators.crossrules import SHARES, city_rules
+from kvartal.operators.crossrules import SHARES, CrossRules, city_rules
+from kvartal.plans import registry
 
 
 def package():
@@ -88,3 +90,24 @@ def test_a_sound_package_violates_nothing(spark):
 def test_planted_faults_are_told(spark, some):
     got = broken(spark, [f for _, f in some])
     assert [n for n, _ in some if not got[n]] == []
+
+
+def test_rows_far_apart_are_neighbours(spark):
+    nodes = spark.createDataFrame([(0, 50), (7, 60), (200_000, 40), (900_000, 45)], "row long, osm_id long")
+    assert {r.check_name: r.violations for r in CrossRules({"n": nodes}).ascending("ordered", "n", "row", ["osm_id"]).report().collect()} == {"ordered": 1}
+
+
+def test_prices_become_lengths_by_the_nearest_whole_number(spark, sf_dir, tmp_path):
+    """Arcs just as long as they must be, if their price is rounded, and too short if it is cut off."""
+    db = duckdb.connect()
+    tables = {
+        "customer": "SELECT CAST(i AS BIGINT) AS c_custkey, CAST(i % 25 AS INTEGER) AS c_nationkey FROM range(1000) t(i)",
+        "nation": f"FROM '{sf_dir}/nation.parquet'",
+        "orders": "SELECT i AS o_orderkey, (i * 7) % 1000 AS o_custkey, greatest(0, floor(sqrt(dx * dx + dy * dy) - 20)) + 0.75 AS o_totalprice FROM (SELECT i, (i * 7) % 1000 * 37 % 1009 - i % 1000 * 37 % 1009 AS dx, (i * 7) % 1000 * 41 % 2003 - i % 1000 * 41 % 2003 AS dy FROM range(1000) t(i))",
+    }
+    for table, sql in tables.items():
+        db.execute(f"COPY ({sql}) TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    want = dict(db.execute(registry.oracle_sql()["package_rules"]).fetchall())
+    got = {r.check_name: r.violations for r in registry.queries()["package_rules"](spark, str(tmp_path)).collect()}
+    assert got == want and want["road_arcs: no shorter than straight"] == 0
