@@ -186,3 +186,26 @@ def test_a_long_ring_takes_a_logarithm_of_rounds(spark, monkeypatch):
     out = rings.assemble(df)
     assert out.count() == n and out.selectExpr("min(no)", "max(no)", "count(DISTINCT no)").first()[:] == (0, n - 1, n)
     assert out.where("forward AND (way * 1) >= 0").count() == n and len(saves) < math.log2(n) + 6
+
+
+def test_cells_off_the_edges_are_not_compared(spark):
+    """Rings of 3 to 9 corners over dense points: results as by brute force, and most pairs met by whole cells."""
+    r = random.Random(8)
+    places = [(i, r.randrange(-2000, 2000), r.randrange(-2000, 2000)) for i in range(1500)]
+    at = spark.createDataFrame(places, "p_id long, x long, y long")
+    rings = []
+    for i in range(24):
+        x, y, a = r.randrange(-1500, 1500), r.randrange(-1500, 1500), r.choice([30, 400, 1900])
+        angles = sorted(r.random() * 2 * math.pi for _ in range(3 + i % 7))
+        rings.append((i, [(round(x + a * math.cos(t)), round(y + a * math.sin(t) * r.random())) for t in angles]))
+    df = spark.createDataFrame(rings, "s_id long, ring array<struct<x:long,y:long>>")
+    want = {(p, s) for p, x, y in places for s, ring in rings if _ring2(x, y, ring) == 0}
+    assert sorted((g.p_id, g.s_id) for g in shapes.near_shapes(at, df, 50).collect()) == sorted(want)
+    assert sorted((p, g.s_id) for g in shapes.ids_inside(at, df, 50).collect() for p in g.ids) == sorted(want)
+    area = {s: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) for s, ring in rings}
+    least = {p: min((area[s], s) for q, s in want if q == p)[1] for p in {p for p, _ in want}}
+    assert {g.p_id: g.s_id for g in shapes.smallest_around(at, df, 50).collect()} == least
+    boxes, sizes = shapes._sized(df, 50, 0)
+    met = shapes._in_cells(at, sizes).join(shapes._over_cells(boxes, 0), ["_size", "_ix", "_iy"])
+    whole = met.where("_whole").count()
+    assert whole > len(want) / 3 and met.count() < 3 * len(want)
